@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import linededup, mixing, sharding
+from marlstone.llm import linededup, mixing, quality, sharding, toxicity
 from marlstone.llm.common import table
 
 QUERIES = {
     "op1_source_mixing": lambda spark, d: mixing.replicate(table(spark, d, "documents")),
     "op7_sharding": lambda spark, d: sharding.shard(table(spark, d, "documents")),
+    "op8_quality": lambda spark, d: quality.classify(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op9_toxicity": lambda spark, d: toxicity.classify(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_line_dedup": lambda spark, d: linededup.digest(linededup.dedup_lines(table(spark, d, "documents"))),
 }
 
