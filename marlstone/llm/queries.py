@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marlstone.llm import linededup, mixing, neardup, quality, sharding, toxicity
+from marlstone.llm import decontaminate, linededup, mixing, neardup, quality, sharding, toxicity
 from marlstone.llm.common import table
 
 QUERIES = {
     "op1_source_mixing": lambda spark, d: mixing.replicate(table(spark, d, "documents")),
+    "op3_decontamination": lambda spark, d: decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_near_dedup": lambda spark, d: neardup.near_duplicates(table(spark, d, "documents")),
     "op7_sharding": lambda spark, d: sharding.shard(table(spark, d, "documents")),
     "op8_quality": lambda spark, d: quality.classify(table(spark, d, "documents"), table(spark, d, "labels")),

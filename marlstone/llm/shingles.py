@@ -25,23 +25,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words; the last ``most`` distinct words are remembered."""
+class WordHashes(dict):
+    """64-bit hashes of words; up to ``most`` distinct words are remembered."""
 
     def __init__(self, most: int = 200_000):
-        self.most, self.known = most, {}
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        return h
 
     def of(self, found: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        for w in found:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w.encode())
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
 def combine(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
