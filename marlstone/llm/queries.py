@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontaminate, linededup, mixing, neardup, pii, quality, sharding, toxicity
+from marlstone.llm import decontaminate, fingerprint, linededup, mixing, neardup, pii, quality, sharding, toxicity
 from marlstone.llm.common import table
 
 QUERIES = {
     "op1_source_mixing": lambda spark, d: mixing.replicate(table(spark, d, "documents")),
+    "op2_fingerprint": lambda spark, d: fingerprint.fingerprints(table(spark, d, "documents")),
     "op3_decontamination": lambda spark, d: decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_pii": lambda spark, d: pii.digest(pii.find(table(spark, d, "documents"))),
     "op6_near_dedup": lambda spark, d: neardup.near_duplicates(table(spark, d, "documents")),
