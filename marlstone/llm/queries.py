@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontaminate, fingerprint, linededup, mixing, neardup, pii, quality, sharding, toxicity
+from marlstone.llm import decontaminate, fingerprint, linededup, mixing, neardup, pii, quality, sharding, substrings, toxicity
 from marlstone.llm.common import table
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_fingerprint": lambda spark, d: fingerprint.fingerprints(table(spark, d, "documents")),
     "op3_decontamination": lambda spark, d: decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op4_pii": lambda spark, d: pii.digest(pii.find(table(spark, d, "documents"))),
+    "op5_substring_dedup": lambda spark, d: substrings.repeats(table(spark, d, "documents")),
     "op6_near_dedup": lambda spark, d: neardup.near_duplicates(table(spark, d, "documents")),
     "op7_sharding": lambda spark, d: sharding.shard(table(spark, d, "documents")),
     "op8_quality": lambda spark, d: quality.classify(table(spark, d, "documents"), table(spark, d, "labels")),
