@@ -45,18 +45,18 @@ class Table:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _pointer(self) -> dict | None:
-        fs, p = self._fs(f"{self.path}/_current")
+        fs, p = self._fs(f"{self.path}/CURRENT")
         if not fs.exists(p):
             return None
-        lines = self.spark.sparkContext.textFile(f"{self.path}/_current").collect()
+        lines = self.spark.sparkContext.textFile(f"{self.path}/CURRENT").collect()
         return json.loads("".join(lines))
 
     def _point(self, parts: list[str], version: int) -> None:
-        fs, tmp = self._fs(f"{self.path}/_next-{uuid.uuid4().hex}")
+        fs, tmp = self._fs(f"{self.path}/NEXT-{uuid.uuid4().hex}")
         out = fs.create(tmp)
         out.write(json.dumps({"version": version, "parts": parts}).encode())
         out.close()
-        _, to = self._fs(f"{self.path}/_current")
+        _, to = self._fs(f"{self.path}/CURRENT")
         if fs.exists(to):
             fs.delete(to, False)
         fs.rename(tmp, to)
@@ -103,7 +103,7 @@ class Table:
         """Rewrites the current version (in n_files files) and deletes all older parts."""
         df = self.read()
         self.overwrite(df.repartition(n_files) if n_files else df)
-        keep = {*self._pointer()["parts"], "_current"}
+        keep = {*self._pointer()["parts"], "CURRENT"}
         fs, p = self._fs(self.path)
         for status in fs.listStatus(p):
             if status.getPath().getName() not in keep:
