@@ -35,7 +35,9 @@ RECALL = 0.99
 LEAST_WORDS = 5
 ANCHOR = 3
 BITS = 2
-MOST_REPETITIONS = 256
+MOST_REPETITIONS = 96
+#: Edited items on which the number of repetitions is set.
+TUNE_EDITED = 192
 BLOCK_BYTES = 8 << 20
 SEED = 5
 PAD = np.uint64(0)
@@ -111,7 +113,7 @@ class Items:
         keys = np.concatenate([self._walk(tokens[s : s + n], np.array([0]), np.array([n]), np.array([n]), everything) for s, n in zip(starts, self.lengths, strict=True)])
         # Edited as far as allowed: the repetitions that most of such items need.
         agree = []
-        for i in rng.choice(len(self.words), min(len(self.words), 64), replace=False):
+        for i in rng.integers(len(self.words), size=TUNE_EDITED):
             w = self.words[i].tolist()
             for _ in range(self.most_edits[i]):
                 at = int(rng.integers(len(w)))
