@@ -125,6 +125,7 @@ def _lines_of(bitmap_held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hashes = bitmap_held.value, WordHashes()
+        seen: set[bytes] = set()  # a line that many documents hold leaves a task once
         for batch in slices(batches):
             digests, shingles = [], []
             for text in batch.column(0).to_pylist():
@@ -135,7 +136,8 @@ def _lines_of(bitmap_held):
                     found = hashes.of([w.lower() for w in words])
                     digest = b"L" + _digest(found)
                     at = bit_of(digest)
-                    if bitmap[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
+                    if digest not in seen and bitmap[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
+                        seen.add(digest)
                         digests.append(digest)
                         shingles.append(np.unique(combine(found)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(shingles, pa.list_(pa.int64()))], ["digest", "shingles"])
