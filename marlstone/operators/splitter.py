@@ -99,53 +99,56 @@ def atoms(text: str, min_atom: int) -> list[Atom]:
     return [*found, Atom(at[-1], at[-1], 0, 0, 2)]
 
 
-def _harmonic(n: int) -> int:
-    return sum(SYNTAX_GAP // j for j in range(1, n + 1))
+#: Cost of a boundary that is so many levels finer than the coarsest inside; levels are at most one per separator.
+_GAP_COST = [sum(SYNTAX_GAP // j for j in range(1, n + 1)) for n in range(len(SEPARATORS) + 2)]
 
 
 def merge(parts: list[Atom], total: int, chunk_size: int, overlap: int, min_chunk: int) -> list[tuple[int, int]]:
     """The cheapest passages as (start, end) bytes. parts ends with the end mark."""
     base = lambda offset: (total - offset) * MISSING_OVERLAP // overlap if overlap else 0
+    starts, ends, levels = [a.start for a in parts], [a.end for a in parts], [a.level for a in parts]
+    inner, before = [a.inner for a in parts], [a.before for a in parts]
+    start_base = [base(x) for x in starts]
     cost, first, prior, bases = [0], [0], [0], [base(0)]
     for i in range(len(parts) - 1):
-        after = parts[i + 1]
+        end, end_level, end_break = ends[i], levels[i + 1], before[i + 1]
         best = None
-        inner_level, inner_break = None, 0
+        inner_level, inner_break = 99, 0
         heap: list[tuple[int, int]] = []
         for s in range(i, -1, -1):
-            a = parts[s]
-            size = parts[i].end - a.start
-            own = 0
-            if inner_level is not None:
-                own = _harmonic(max(0, a.level - inner_level)) + _harmonic(max(0, after.level - inner_level))
-            own += PER_LINE_BREAK * (max(0, inner_break - a.before) + max(0, inner_break - after.before))
-            own += TOO_SMALL * (size < min_chunk)
+            size, level = end - starts[s], levels[s]
+            own = (_GAP_COST[level - inner_level] if level > inner_level else 0) + (_GAP_COST[end_level - inner_level] if end_level > inner_level else 0)
+            if inner_break:
+                own += PER_LINE_BREAK * (max(0, inner_break - before[s]) + max(0, inner_break - end_break))
+            if size < min_chunk:
+                own += TOO_SMALL
             if size > chunk_size:
                 if best is None:
                     best = (own + cost[s], s, s)
                 break
-            before = s
+            prev = s
             if overlap:
                 # Of the plans that end not too far behind this start, the cheapest; among equals the later.
-                while heap and parts[-heap[0][1]].end - a.start > overlap:
+                limit = overlap + starts[s]
+                while heap and ends[-heap[0][1]] > limit:
                     heapq.heappop(heap)
                 heapq.heappush(heap, (cost[s] + bases[s], -s))
-                before = -heap[0][1]
-                target = base(a.start)
-                own += MISSING_OVERLAP + min(0, bases[before] - target)
+                prev = -heap[0][1]
+                missing = bases[prev] - start_base[s]
+                own += MISSING_OVERLAP + (missing if missing < 0 else 0)
             else:
                 own += MISSING_OVERLAP // 2
-            if best is None or own + cost[before] < best[0]:
-                best = (own + cost[before], s, before)
-            inner_level = a.level if inner_level is None else min(inner_level, a.level)
-            inner_break = max(inner_break, a.inner)
+            if best is None or own + cost[prev] < best[0]:
+                best = (own + cost[prev], s, prev)
+            inner_level = min(inner_level, level)
+            inner_break = max(inner_break, inner[s])
         cost.append(best[0])
         first.append(best[1])
         prior.append(best[2])
-        bases.append(base(parts[i].end))
+        bases.append(base(end))
     out, at = [], len(cost) - 1
     while at:
-        out.append((parts[first[at]].start, parts[at - 1].end))
+        out.append((starts[first[at]], ends[at - 1]))
         at = prior[at]
     return out[::-1]
 
