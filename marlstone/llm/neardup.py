@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import Scratch, slices
@@ -176,9 +176,13 @@ def _verify(idf: dict[str, float], threshold: float):
     return run
 
 
+def _bit(node: Column, doc_id: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(node, doc_id), F.lit(1 << bits))
+
+
 def _bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of fixed size of the nodes; a superset passes it."""
-    at = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
+    """A bitmap of fixed size of the nodes and their least ids; a superset passes it."""
+    at = _bit(F.col("node"), F.col("least_id"), bits)
     parts = nodes.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS int))")).alias("mask"))
     rows = parts.toPandas()  # at most 2^(bits - 5) rows
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)
@@ -196,25 +200,28 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     banded = signed.select("node", F.explode("bands").alias("key")).distinct()
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = scratch.save(banded.join(shared, "key").select("key", "node"))
-    candidates = members.select("node").distinct()
+    candidates = scratch.save(members.select("node").distinct().join(nodes.select("node", "least_id"), "node"))
     held = spark.sparkContext.broadcast(_bitmap(candidates, BITMAP_BITS))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = held.value
         for batch in slices(batches):
-            at = batch.column(1).to_numpy()
+            at = batch.column(0).to_numpy()
             hit = (bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["node", "text"]).filter(pa.array(hit))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], ["node", "doc_id", "text"]).filter(pa.array(hit))
 
-    # Texts of the candidates, once each: hashed in Python as the nodes were, and matched with the bitmap there.
+    # Texts of the candidates, once each: hashed in Python as the nodes were, and matched with the bitmap there. Of the
+    # documents of a node only that of the least id passes, so that copies of a text do not meet in one task.
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([text_node(t) for t in texts], pa.binary()), pa.array(texts, pa.string())], ["node", "text"])
-
-    noded = docs.select("text").mapInArrow(hashed, "node binary, text string")
-    near = noded.select("node", F.pmod(F.xxhash64("node"), F.lit(1 << BITMAP_BITS)).alias("at"), "text").mapInArrow(fetch, "node binary, text string")
-    texts = scratch.save(near.join(candidates, "node", "left_semi").dropDuplicates(["node"]))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([text_node(t) for t in texts], pa.binary()), batch.column(0), pa.array(texts, pa.string())], ["node", "doc_id", "text"])
+
+    noded = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text").mapInArrow(hashed, "node binary, doc_id bigint, text string")
+    near = noded.select(_bit(F.col("node"), F.col("doc_id"), BITMAP_BITS).alias("at"), "node", "doc_id", "text").mapInArrow(fetch, "node binary, doc_id bigint, text string")
+    wanted = candidates.select("node", F.col("least_id").alias("doc_id"))
+    texts = scratch.save(near.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"]).select("node", "text"))
+    candidates = candidates.select("node")
     labels = scratch.save(candidates.withColumn("component", F.col("node")))
     tested: DataFrame | None = None
     for turn in range(rounds):
