@@ -1,7 +1,8 @@
 """Operator 9: toxicity by a counterfactual-regularised classifier.
 
 A document's features are the distinct words it holds and the distinct starts of its words (first 4 and 5 letters), of
-the whole text. A sparse logistic model over them is fitted with a second loss: in every labelled text that mentions
+the whole text. A sparse logistic model over them, whose weights are not negative (no word makes another less toxic),
+is fitted with a second loss: in every labelled text that mentions
 an identity term, the term is swapped for others of its category (the neutral one included), and the squared
 difference of the two scores' log-odds is penalised. A group's name then cannot carry a toxic score by itself, which
 spares neutral mentions.
@@ -17,22 +18,24 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import slices
 from marlstone.llm.labelled import remainder, sample
 
-FIT_ROWS = 5_000
+FIT_ROWS = 4_000
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 LEAST_DOCS = 3
-L1, COUNTERFACTUAL = 4e-4, 1.0
+L1, COUNTERFACTUAL = 1.2e-4, 1.0
+#: A toxic example counts as so many.
+POSITIVE = 3.0
 WORD = re.compile(r"\w+")
 
 #: Interchangeable group names by category; the first of each is the neutral one.
@@ -54,16 +57,23 @@ def words_of(text: str) -> set[str]:
 
 def features_of(words: set[str]) -> set[str]:
     """Words, and starts of words marked by a trailing '*' and their length."""
-    return words | {w[:5] + "*5" for w in words if len(w) > 5} | {w[:4] + "*4" for w in words if len(w) > 4}
+    return words | {w[:5] + "*5" for w in words if len(w) >= 5} | {w[:4] + "*4" for w in words if len(w) >= 4}
 
 
-def swaps(words: set[str], terms: tuple[tuple[str, ...], ...]) -> list[set[str]]:
-    """Counterfactual versions of a text's words: each mentioned term for each other of its category."""
-    out = []
-    for category in terms:
-        for term in words.intersection(category):
-            out += [(words - {term}) | {other} for other in category if other != term]
-    return out
+def feature_hash(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature.encode()) >> 1  # fits a signed long
+
+
+def hashed(words: set[str]) -> np.ndarray:
+    """The hashes of a text's features; the fit needs no more of it."""
+    return np.array(sorted(map(feature_hash, features_of(words))), dtype=np.int64)
+
+
+def swaps(found: np.ndarray, terms: tuple[tuple[str, ...], ...]) -> list[tuple[str, str]]:
+    """(term, other): each identity term that a text mentions, with each other term of its category."""
+    names = sorted({t for category in terms for t in category})
+    held = {t for t, h in zip(names, map(feature_hash, names), strict=True) if (at := int(np.searchsorted(found, h))) < len(found) and found[at] == h}
+    return [(t, other) for category in terms for t in category if t in held for other in category if other != t]
 
 
 class Model:
@@ -77,72 +87,88 @@ class Model:
 
     def probability(self, words: set[str]) -> float:
         total = self.base
-        for held, found in ((self.words, words), (self.five, {w[:5] for w in words if len(w) > 5}), (self.four, {w[:4] for w in words if len(w) > 4})):
+        for held, found in ((self.words, words), (self.five, {w[:5] for w in words if len(w) >= 5}), (self.four, {w[:4] for w in words if len(w) >= 4})):
             for f in found & held.keys():
                 total += held[f]
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def _rows(feature_sets: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    found = [[index[f] for f in s if f in index] for s in feature_sets]
-    owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    return owner, np.fromiter((i for x in found for i in x), dtype=np.int64, count=len(owner))
+def train(documents: list[np.ndarray], labels: np.ndarray, terms=IDENTITY_TERMS, l1: float = L1, counterfactual: float = COUNTERFACTUAL, steps: int = 120) -> tuple[float, dict[int, float]]:
+    """Fits by proximal gradient descent with momentum; documents are given as hashed features. Returns base and weights by hash."""
+    n = len(documents)
+    kinds, counts = np.unique(np.concatenate(documents), return_counts=True)
+    pairs = [(term, other) for d in documents for term, other in swaps(d, terms)]
+    sides = {t: hashed({t}) for t in {t for p in pairs for t in p}}
+    named = np.unique(np.concatenate([np.empty(0, np.int64), *sides.values()]))
+    kinds = np.union1d(kinds[counts >= LEAST_DOCS], named)
+    m = len(kinds)
 
+    def columns(found: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(kinds, found), m - 1)
+        return at[kinds[at] == found]
 
-def train(documents: list[set[str]], labels: np.ndarray, terms=IDENTITY_TERMS, l1: float = L1, counterfactual: float = COUNTERFACTUAL, steps: int = 120) -> Model:
-    """Fits by proximal gradient descent with momentum; documents are given as sets of words."""
-    sets = [features_of(d) for d in documents]
-    seen = Counter(f for s in sets for f in s)
-    pairs = [(i, other) for i, d in enumerate(documents) for other in swaps(d, terms)]
-    pair_sets = [features_of(o) for _, o in pairs]
-    named = {f for _, o in pairs for f in o}
-    index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= LEAST_DOCS or f in named))}
-    owner, column = _rows(sets, index)
-    n, m = len(sets), len(index)
+    rows = [columns(d).astype(np.int32) for d in documents] if m else []
+    column = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows] if rows else 0)
     if pairs:
         # The difference of a text and its counterfactual version, as signed entries.
-        a_owner, a_col = _rows([sets[i] for i, _ in pairs], index)
-        b_owner, b_col = _rows(pair_sets, index)
-        d_owner, d_col = np.concatenate([a_owner, b_owner]), np.concatenate([a_col, b_col])
-        d_sign = np.concatenate([np.ones(len(a_col)), -np.ones(len(b_col))])
+        parts = [(i, columns(sides[t]), sign) for i, (term, other) in enumerate(pairs) for t, sign in ((term, 1.0), (other, -1.0))]
+        d_owner = np.concatenate([np.full(len(c), i) for i, c, _ in parts])
+        d_col = np.concatenate([c for _, c, _ in parts])
+        d_sign = np.concatenate([np.full(len(c), sign) for _, c, sign in parts])
     # Frequent features are scaled down, so that the step size suits all.
-    share = np.bincount(column, minlength=m) / n
-    rate = 0.5 / np.sqrt(share + 1e-3)
+    rate = 0.5 / np.sqrt(np.bincount(column, minlength=m) / n + 1e-3)
     w, velocity = np.zeros(m), np.zeros(m)
-    mean = labels.mean()
+    weight = np.where(labels == 1, POSITIVE, 1.0) / n
+    mean = (labels * weight).sum() / weight.sum()
     base = float(np.log(mean / (1 - mean)))
     for step in range(steps):
         look = w + 0.9 * velocity
         p = 1 / (1 + np.exp(-np.clip(base + np.bincount(owner, look[column], minlength=n), -30, 30)))
-        error = (p - labels) / n
+        error = (p - labels) * weight
         gradient = np.bincount(column, error[owner], minlength=m)
         if pairs:
             apart = np.bincount(d_owner, look[d_col] * d_sign, minlength=len(pairs))
             gradient += counterfactual * np.bincount(d_col, (2 * apart / len(pairs))[d_owner] * d_sign, minlength=m)
         at = rate * (1.0 if step < steps * 2 // 3 else 0.3)
         new = look - at * gradient
-        new = np.sign(new) * np.maximum(np.abs(new) - at * l1, 0)
+        new = np.maximum(new - at * l1, 0)
         velocity, w = new - w, new
         base -= 0.5 * float(error.sum())
     kept = np.flatnonzero(np.abs(w) > 1e-3)
-    names = list(index)
-    return Model(base, {names[i]: float(w[i]) for i in kept})
+    return base, dict(zip(kinds[kept].tolist(), w[kept].tolist(), strict=True))
 
 
-def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        found = [sorted(words_of(t)) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2)], ["doc_id", "words", "label"])
+        found = [hashed(words_of(t)).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "features", "label"])
+
+
+def _names(wanted: dict[int, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = {f for t in batch.column(1).to_pylist() for f in features_of(words_of(t)) if feature_hash(f) in wanted}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["feature"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, terms=IDENTITY_TERMS) -> Model | float:
-    """A fitted model; a constant where the labels have fewer than two classes."""
+    """A fitted model; a constant where the labels have fewer than two classes.
+
+    The driver gets hashes of the sample's features; the names of those that are kept are read from the sample again.
+    """
     picked = sample(docs, labels, "toxic", MODULUS, HELD_OUT, limit).select("doc_id", "text", "label")
-    rows = picked.mapInArrow(_word_sets, "doc_id bigint, words array<string>, label int").orderBy("doc_id", "words").collect()
+    rows = picked.mapInArrow(_hashed, "doc_id bigint, features binary, label int").collect()
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
     y = np.array([r["label"] for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return float((y.sum() + 1) / (len(y) + 2))
-    return train([set(r["words"]) for r in rows], y, terms)
+    base, weights = train([np.frombuffer(r["features"], dtype=np.int64) for r in rows], y, terms)
+    named = {r[0] for r in picked.mapInArrow(_names(weights), "feature string").distinct().collect()}
+    named |= {f for category in terms for t in category for f in features_of({t})}
+    return Model(base, {f: weights[h] for f in sorted(named) if (h := feature_hash(f)) in weights})
 
 
 def _scored(model: Model | float):
@@ -150,8 +176,7 @@ def _scored(model: Model | float):
         for batch in slices(batches):
             texts = batch.column(0).to_pylist()
             values = [model if isinstance(model, float) else model.probability(words_of(t or "")) for t in texts]
-            arrays = [*batch.columns[1:], pa.array(values, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[1:], "m_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(values, pa.float64())], ["doc_id", "m_score"])
 
     return run
 
