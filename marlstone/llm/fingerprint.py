@@ -30,9 +30,9 @@ from pyspark.sql.window import Window
 
 from marlstone.llm.common import text_or_empty
 
-WIDTH = 8
-PER_BLOCK = 8
-ROUNDS = 8
+WIDTH = 4
+PER_BLOCK = 4
+ROUNDS = 4
 RANGE_ROWS = 250
 MOST_RANGES = 1 << 16
 
