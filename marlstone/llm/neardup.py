@@ -10,10 +10,12 @@ Improved consistent weighted sampling draws for each sample the shingle and leve
 draws have the probability of the weighted Jaccard similarity. ``ROWS`` draws make a band, ``BANDS`` bands a signature;
 at similarity 0.8 a pair shares a band with probability above 0.99.
 
-Documents of equal text are one node. In every band's bucket the members are compared with one of them, never with
-each other; the verified pairs (exact weighted Jaccard of whole texts) are linked and contracted to components. While
-a bucket holds more than one component, another member is taken and compared with those outside its component, and so
-on, ``ROUNDS`` times; every pair of a bucket of at most ROUNDS + 1 texts is compared unless it is linked by then.
+Documents of equal text are one node. In every band's bucket the members are first compared with one of them; the
+verified pairs (exact weighted Jaccard of whole texts) are linked and contracted to components. While a bucket holds
+more than one component, a member not taken before is compared with those outside its component, ``ROUNDS`` times, which
+joins large groups of copies cheaply. Then all pairs of a bucket that are neither tested nor in one component by now are
+compared, in cells of two blocks of about ``BLOCK`` members. So each two texts that share a bucket are compared or
+linked by others; of m texts that are all unlike each other, that is m squared / 2 comparisons.
 
 Texts without words (null, empty, punctuation) are near only to equal texts; a null doc_id counts as the least id;
 repeated rows are documents of one node; an empty table gives an empty result; extra columns are ignored.
@@ -37,6 +39,7 @@ from marlstone.llm.shingles import WordHashes, combine, means, mix, words
 THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
 ROUNDS = 4
+BLOCK = 128
 IDF_SPAN = 1_000
 BITMAP_BITS = 25
 NULL_ID = -(1 << 63)
@@ -190,6 +193,105 @@ def _bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _rest(idf: dict[str, float], threshold: float):
+    """Links among the members of one cell: all pairs of a block, or of two blocks, that are not in one component."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        weigher = Weigher(idf)
+        key, crossed = cell.column("key")[0].as_py(), cell.column("i")[0].as_py() != cell.column("j")[0].as_py()
+        nodes, owns, keys, block = (cell.column(c).to_pylist() for c in ("node", "component", "keys", "block"))
+        sets = [weigher.weighted(t) for t in cell.column("text").to_pylist()]
+        totals = np.array([s[1].sum() for s in sets])
+        every, local = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)
+        weights, starts = np.concatenate([s[1] for s in sets]), np.cumsum([0, *[len(s[0]) for s in sets]])
+        keys, block = [set(k) for k in keys], np.array(block)
+        owns = np.unique(owns, return_inverse=True)[1]
+        dense, found = np.zeros(len(every)), []
+        for x in range(len(sets) - 1):
+            own = local[starts[x] : starts[x + 1]]
+            dense[own] = sets[x][1]
+            at = starts[x + 1]
+            shared = np.add.reduceat(np.minimum(dense[local[at:]], weights[at:]), starts[x + 1 : -1] - at)
+            dense[own] = 0
+            near = shared >= (threshold - 1e-9) * (totals[x] + totals[x + 1 :] - shared)
+            near &= owns[x + 1 :] != owns[x]
+            if crossed:
+                near &= block[x + 1 :] != block[x]
+            for y in (np.flatnonzero(near) + x + 1).tolist():
+                # A pair that meets in several buckets is tested in that of the least key.
+                if owns[x] != owns[y] and min(keys[x] & keys[y]) == key and jaccard(sets[x], sets[y]) >= threshold:
+                    found.append((nodes[x], nodes[y]))
+                    owns[owns == owns[y]] = owns[x]
+        return pa.table([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _contract(labels: DataFrame, good: DataFrame, scratch: Scratch) -> DataFrame:
+    """The labels after the components of the linked nodes (a, b) are joined."""
+    onto = (
+        good.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
+        .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+        .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    )
+    joined = components(onto, scratch)
+    out = scratch.save(
+        labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("onto")), "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
+    )
+    scratch.drop(labels)
+    return out
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (key, node) of buckets with more than one component, with their component."""
+    placed = members.join(labels, "node")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(open_keys, "key")
+
+
+def _link(members: DataFrame, texts: DataFrame, idf: dict[str, float], threshold: float, rounds: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of the members: each two of a bucket whose similarity reaches the threshold are in one component."""
+    labels = scratch.save(members.select("node").distinct().withColumn("component", F.col("node")))
+    left, tested = members, None
+    for turn in range(rounds):
+        waiting = scratch.save(_open(left, labels))
+        if waiting.isEmpty():
+            return labels
+        chosen = scratch.save(waiting.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("c")))
+        pairs = (
+            waiting.join(chosen, "key")
+            .where("c.component <> component")
+            .select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b"), (F.col("c.node") < F.col("node")).alias("c_first"))
+            .groupBy("a", "b")
+            .agg(F.max("c_first").alias("c_first"))
+        )
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        # All pairs of a chosen member are settled in its bucket after this turn, so it leaves the bucket.
+        left = waiting.join(chosen.select("key", F.col("c.node").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+        # The chosen member's text is read once for many pairs that follow each other.
+        pairs = scratch.save(pairs.select(F.when(F.col("c_first"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("c_first"), F.col("b")).otherwise(F.col("a")).alias("b")))
+        if pairs.isEmpty():
+            continue
+        with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+        checked = scratch.save(with_both.mapInArrow(_verify(idf, threshold), "a binary, b binary, good boolean"))
+        labels = _contract(labels, checked.where("good").select("a", "b"), scratch)
+        done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tested = done if tested is None else tested.unionByName(done)
+    # The rest exactly: a bucket's members are dealt to blocks, and each two blocks meet in a cell of bounded size.
+    waiting = scratch.save(_open(left, labels))
+    if waiting.isEmpty():
+        return labels
+    parts = waiting.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    of_node = members.join(waiting.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("key").alias("keys"))
+    dealt = waiting.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int"))
+    cells = dealt.join(of_node, "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "keys", "text")
+    found = scratch.save(cells.groupBy("key", "i", "j").applyInArrow(_rest(idf, threshold), "a binary, b binary"))
+    return _contract(labels, found, scratch)
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, node, class_id, class_size) for every row: the class's least doc_id and its number of rows."""
     spark = docs.sparkSession
@@ -221,45 +323,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     near = noded.select(_bit(F.col("node"), F.col("doc_id"), BITMAP_BITS).alias("at"), "node", "doc_id", "text").mapInArrow(fetch, "node binary, doc_id bigint, text string")
     wanted = candidates.select("node", F.col("least_id").alias("doc_id"))
     texts = scratch.save(near.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"]).select("node", "text"))
-    candidates = candidates.select("node")
-    labels = scratch.save(candidates.withColumn("component", F.col("node")))
-    tested: DataFrame | None = None
-    for turn in range(rounds):
-        placed = members.join(labels, "node")
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        waiting = scratch.save(placed.join(open_keys, "key"))
-        # Another member each turn: the least by a hash with the turn.
-        chosen = waiting.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("c"))
-        pairs = (
-            waiting.join(chosen, "key")
-            .where("c.component <> component")
-            .select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b"), (F.col("c.node") < F.col("node")).alias("c_first"))
-            .groupBy("a", "b")
-            .agg(F.max("c_first").alias("c_first"))
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        # The chosen member's text is read once for many pairs that follow each other.
-        pairs = scratch.save(pairs.select(F.when(F.col("c_first"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("c_first"), F.col("b")).otherwise(F.col("a")).alias("b")))
-        if pairs.isEmpty():
-            break
-        with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        with_both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        checked = scratch.save(with_both.mapInArrow(_verify(idf, threshold), "a binary, b binary, good boolean"))
-        good = checked.where("good").select("a", "b")
-        onto = (
-            good.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
-            .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-            .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        )
-        joined = components(onto, scratch)
-        new_labels = scratch.save(
-            labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("onto")), "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
-        )
-        scratch.drop(labels)
-        labels = new_labels
-        done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = done if tested is None else tested.unionByName(done)
+    labels = _link(members, texts, idf, threshold, rounds, scratch)
     classed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = classed.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("n_rows").alias("class_size"))
     of_node = scratch.save(classed.join(sizes, "component").select("node", "class_id", "class_size"))

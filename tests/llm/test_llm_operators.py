@@ -171,6 +171,23 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert kept.columns == docs.columns and len(ids) == len(set(ids)) and 0 in ids and 30 not in ids
 
 
+def test_near_duplicates_in_a_bucket_of_unlike_texts(spark):
+    rnd = random.Random(12)
+    texts = ["same " * 200 + " ".join(words(rnd, 40)) for _ in range(300)]
+    texts += [t + f" q{i}" for i, t in enumerate(texts[:60])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    weigher = neardup.Weigher(neardup.word_idf(df))
+    sets = [weigher.weighted(t) for t in texts]
+    starts = np.cumsum([0, *[len(s[0]) for s in sets[:-1]]])
+    keys = neardup.band_keys(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), starts, 1, 1)[:, 0].tolist()
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if keys[i] == keys[j] and neardup.jaccard(sets[i], sets[j]) >= 0.8]
+    root = components.brute_force(links)
+    assert max(map(keys.count, keys)) > 150 and len(links) > 30
+    for rounds in (neardup.ROUNDS, 0):
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df, bands=1, rows=1, rounds=rounds).collect()}
+        assert got == {i: root.get(i, i) for i in range(len(texts))}
+
+
 def test_consistent_sampling_matches_similarity():
     rng = np.random.default_rng(0)
     keys = rng.integers(1 << 62, size=400, dtype=np.uint64)
