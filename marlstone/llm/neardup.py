@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.llm.common import Scratch, slices
 from marlstone.llm.components import components
@@ -293,12 +294,13 @@ def _link(members: DataFrame, texts: DataFrame, idf: dict[str, float], threshold
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, node, class_id, class_size) for every row: the class's least doc_id and its number of rows."""
+    """(doc_id, node, class_id, class_size, stands) for every row: the class's least doc_id, its number of rows, and
+    whether the row, or an equal one, is to stand for the class."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     idf = word_idf(docs)
     signed = scratch.save(docs.select("doc_id", "text").mapInArrow(_signatures(idf, bands, rows), "doc_id bigint, node binary, bands array<bigint>"))
-    nodes = signed.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least_id"), F.count("*").alias("n_rows"))
+    nodes = signed.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least_id"), F.min("doc_id").alias("known_id"), F.count("*").alias("n_rows"))
     banded = signed.select("node", F.explode("bands").alias("key")).distinct()
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = scratch.save(banded.join(shared, "key").select("key", "node"))
@@ -325,10 +327,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     texts = scratch.save(near.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"]).select("node", "text"))
     labels = _link(members, texts, idf, threshold, rounds, scratch)
     classed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = classed.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("n_rows").alias("class_size"))
-    of_node = scratch.save(classed.join(sizes, "component").select("node", "class_id", "class_size"))
+    # The row that stands for the class: of least id, a null one only where no row has an id; of equal ids the least node.
+    first = F.min(F.struct(F.col("known_id").isNull().alias("unknown"), F.coalesce("known_id", F.lit(NULL_ID)).alias("m_doc"), "node")).alias("first")
+    sizes = classed.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("n_rows").alias("class_size"), first)
+    of_node = scratch.save(classed.join(sizes, "component").select("node", "class_id", "class_size", "first"))
     null_id = F.when(F.col("class_id") == NULL_ID, F.lit(None).cast("bigint")).otherwise(F.col("class_id"))
-    return signed.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", null_id.alias("class_id"), "class_size")
+    stands = (F.col("first.node") == F.col("node")) & (F.col("first.m_doc") == F.coalesce("doc_id", F.lit(NULL_ID)))
+    return signed.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", null_id.alias("class_id"), "class_size", stands.alias("stands"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -337,15 +342,23 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        nodes = [text_node(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*batch.schema.names, "m_node"])
+
+
 def neardup_stage(docs: DataFrame, **options) -> DataFrame:
-    """A pipeline stage: one document of each class, all columns kept: that of the least doc_id. Of rows that share
-    this doc_id one stays."""
-    found = classes(docs, **options)
+    """A pipeline stage: exactly one row of each class, all columns kept: that of the least doc_id, one without an id only
+    where no row of the class has one. Where an id is repeated or null, rows are told apart by their text as well."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("m_doc"))
-    keep = scratch.save(first.agg(F.count("*").alias("m_n")))
+    found = classes(docs, **options).withColumn("m_doc", F.coalesce("doc_id", F.lit(NULL_ID)))
+    standing = scratch.save(found.where("stands").select("m_doc", F.col("node").alias("m_node")).distinct())
+    keep = scratch.save(found.groupBy("m_doc").agg(F.count("*").alias("m_n"), F.max("stands").alias("m_any")).where("m_any").select("m_doc", "m_n"))
     kept = docs.withColumn("m_doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(keep, "m_doc")
     if keep.where("m_n > 1").isEmpty():
         return kept.select(*docs.columns)
-    repeated = kept.where("m_n > 1").dropDuplicates(["m_doc"])
-    return kept.where("m_n = 1").unionByName(repeated).select(*docs.columns)
+    repeated = kept.where("m_n > 1").select(*docs.columns, "m_doc")
+    schema = T.StructType([*repeated.schema.fields, T.StructField("m_node", T.BinaryType())])
+    repeated = repeated.mapInArrow(_with_node, schema).join(standing, ["m_doc", "m_node"], "left_semi").dropDuplicates(["m_doc", "m_node"])
+    return kept.where("m_n = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))

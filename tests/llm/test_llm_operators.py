@@ -188,6 +188,15 @@ def test_near_duplicates_in_a_bucket_of_unlike_texts(spark):
         assert got == {i: root.get(i, i) for i in range(len(texts))}
 
 
+def test_near_duplicate_stage_with_repeated_and_null_ids(spark):
+    rnd = random.Random(13)
+    a, b, c, d, e, f, g = (" ".join(words(rnd, 100)) for _ in range(7))
+    rows = [(None, a), (None, b), (None, b), (None, c), (3, c), (7, d), (7, e), (5, f), (8, f + " more"), (8, g), (9, None), (None, "")]
+    want = [(3, c), (5, f), (7, d), (7, e), (8, g), (9, None), (None, a), (None, b)]
+    got = neardup.neardup_stage(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_consistent_sampling_matches_similarity():
     rng = np.random.default_rng(0)
     keys = rng.integers(1 << 62, size=400, dtype=np.uint64)
