@@ -12,8 +12,8 @@ joined to runs of words; runs of at least ``LEAST_RUN`` words are reported. The
 occurrence; all others are to be removed.
 
 Bands are tuned: of all band shapes whose recall at the threshold is high enough, the one that needs the fewest hashes.
-In a band's bucket lines are compared with the least one only; a second turn with the greatest one joins what that
-left apart. Texts of candidate lines are fetched once, through a bitmap of fixed size.
+In a band's bucket lines are compared with one of them, ``ROUNDS`` times, and then all pairs that are neither tested nor
+in one component by now, in blocks. Texts of candidate lines are fetched once, through a bitmap of fixed size.
 
 Null and empty texts have no paragraphs; a null doc_id counts as one document, the least; repeated rows of one doc_id
 are the same document; an empty table gives an empty result; extra columns are ignored.
@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.llm.buckets import link
 from marlstone.llm.common import Scratch, slices
-from marlstone.llm.components import components
 from marlstone.llm.shingles import WordHashes, combine, mix
 
 THRESHOLD = 0.8
 RECALL = 0.98
+ROUNDS = 2
 REACH = 4
 LEAST_WORDS = 5
 LEAST_RUN = 15
@@ -159,23 +160,26 @@ def _bitmap(digests: DataFrame) -> np.ndarray:
     return out
 
 
-def _links(lines: DataFrame, docs: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
-    """(a, b) of lines whose shingles are similar enough, with which all of a band's similar lines hang together."""
-    banded = lines.select("digest", F.explode("bands").alias("key"))
-    ends = scratch.save(banded.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi"))
-    meets = banded.join(ends, "key")
-    low = meets.where("digest <> lo").select(F.col("lo").alias("a"), F.col("digest").alias("b"))
-    high = meets.where("digest <> hi AND digest <> lo").select(F.col("digest").alias("a"), F.col("hi").alias("b"))
-    pairs = scratch.save(low.unionByName(high).distinct())
-    candidates = scratch.save(pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct())
+def _weigh():
+    return lambda shingles: (np.array(shingles, dtype=np.int64), np.ones(len(shingles)))
+
+
+def _classes(lines: DataFrame, docs: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """(digest, component) of the lines that share a band with another; similar ones of a band are in one component."""
+    banded = lines.select(F.col("digest").alias("node"), F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    members = scratch.save(banded.join(shared, "key").select("key", "node"))
+    candidates = scratch.save(members.select(F.col("node").alias("digest")).distinct())
     held = docs.sparkSession.sparkContext.broadcast(_bitmap(candidates))
     fetched = docs.select("text").mapInArrow(_lines_of(held), "digest binary, shingles array<bigint>")
     texts = scratch.save(fetched.join(candidates, "digest", "left_semi").dropDuplicates(["digest"]))
-    both = pairs.join(texts.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b").join(
-        texts.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a"
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("item_a", "item_b"))
+        return pairs.select("a", "b", (shared >= threshold * (F.size("item_a") + F.size("item_b") - shared)).alias("good"))
+
+    items = texts.select(F.col("digest").alias("node"), F.col("shingles").alias("item"))
+    return link(members, items, verify, _weigh, threshold, ROUNDS, scratch).withColumnRenamed("node", "digest")
 
 
 def repeats(docs: DataFrame, threshold: float = THRESHOLD, least_run: int = LEAST_RUN) -> DataFrame:
@@ -188,8 +192,7 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, least_run: int = LEAS
     spread = found.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     # Lines of equal words are one node; of their equal bands any will do.
     lines = found.where("bands IS NOT NULL").select("digest", "bands").distinct()
-    links = _links(lines, docs, scratch, threshold)
-    classes = components(links, scratch).select(F.col("node").alias("digest"), "component")
+    classes = _classes(lines, docs, scratch, threshold)
     spread = scratch.save(spread)
     of_class = (
         classes.join(spread, "digest").groupBy("component").agg(F.min("least").alias("class_least"), F.max("most").alias("class_most"))

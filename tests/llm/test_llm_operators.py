@@ -145,6 +145,29 @@ def test_substrings(spark, docs, rows, empty):
     assert 1 - (1 - 0.8**r) ** b >= 0.98
 
 
+def test_substrings_of_many_families_in_one_bucket(spark):
+    rnd = random.Random(14)
+    common = " ".join(words(rnd, 60))
+    lines = [f"{common} {' '.join(words(rnd, 14))}" for _ in range(150)]
+    texts = lines + [line + f" z{i}" for i, line in enumerate(lines)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    hashes = substrings.WordHashes()
+    sets = [np.unique(substrings.combine(hashes.of(t.split()))) for t in texts]
+    keys = [set(substrings.minhash(s)) for s in sets]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if keys[i] & keys[j] and neardup.jaccard((sets[i], np.ones(len(sets[i]))), (sets[j], np.ones(len(sets[j])))) >= 0.8]
+    root = components.brute_force(links)
+    # Whole lines: the words that only the two lines of a family share are in the reported run as well.
+    whole = {r.doc_id for r in substrings.repeats(df).collect() if r.start == 0 and r.end == len(texts[r.doc_id])}
+    assert {i for link in links for i in link} <= whole
+    lines = df.select("doc_id", "text").mapInArrow(substrings._extract, substrings._UNITS).where("bands IS NOT NULL").select("doc_id", "digest", "bands")
+    name = {r.doc_id: r.digest for r in lines.collect()}
+    found = substrings._classes(lines.select("digest", "bands").distinct(), df, Scratch(spark, "t"), 0.8).collect()
+    got = {r.digest: r.component for r in found}
+    of = [got.get(name[i], name[i]) for i in range(len(texts))]
+    assert max(sum(k in s for s in keys) for k in set().union(*keys)) > 60 and len(links) > 100
+    assert all((of[i] == of[j]) == (root.get(i, i) == root.get(j, j)) for i in range(len(texts)) for j in range(i))
+
+
 def test_near_duplicates(spark, docs, rows, empty):
     rnd = random.Random(6)
     base = [words(rnd, 120) for _ in range(12)]
