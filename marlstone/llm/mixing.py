@@ -7,8 +7,9 @@ P(X <= k) <= u. A document is exploded into that many copies, and the copies are
 (seed, doc_id, copy): partitioned by it and sorted by it within each partition.
 
 The sources' table (one row per source) carries the distribution's table, so a document does no more than count the
-entries below its u; the table is joined by the source, where AQE splits a hot source. Only copies' rows are shuffled,
-by a key that is new for each copy.
+entries below its u. The table is written and its entries are counted: up to ``MOST_ENTRIES`` it is broadcast, so that
+texts do not move for the join; a larger one is joined by the source, where AQE splits a hot source. Only copies' rows
+are shuffled, by a key that is new for each copy.
 
 Without ``weights``, a source's weight is its size to the power ``alpha``. Sources without a weight get none (rate 0).
 A null source is a source of its own; a null doc_id hashes as the empty string, a null text has size 0. A source
@@ -24,12 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.llm.common import Scratch
+
 ALPHA = 0.5
 SEED = 7
 #: u has 48 bits.
 U_DIGITS = 12
 #: Beyond this many standard deviations above the mean no u of 48 bits is reached.
 DEVIATIONS, EXTRA = 9, 40
+#: Entries (of 8 bytes) of all sources' distribution tables that are broadcast at most.
+MOST_ENTRIES = 1 << 20
 
 
 def uniform(seed: int, key: Column) -> Column:
@@ -74,12 +79,15 @@ def poisson_tables(rates: DataFrame) -> DataFrame:
     )
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, alpha: float = ALPHA, seed: int = SEED, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """The columns of docs and copy, n_copies (long), shuffle_key (32 hex digits), in global random order."""
     for name in ("copy", "n_copies", "shuffle_key"):
         if name in docs.columns:
             docs = docs.withColumnRenamed(name, f"input_{name}")
-    tables = poisson_tables(source_rates(docs, weights, total, alpha))
+    tables = Scratch(docs.sparkSession, "mixing").save(poisson_tables(source_rates(docs, weights, total, alpha)))
+    entries = tables.agg(F.coalesce(F.sum(F.size("m_cdf") + F.lit(4)), F.lit(0))).first()[0]
+    if entries <= most_entries:
+        tables = F.broadcast(tables)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     counted = (
         docs.join(tables, F.col("source").eqNullSafe(F.col("m_source")))
