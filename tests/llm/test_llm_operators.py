@@ -88,7 +88,38 @@ def test_fingerprints(spark, rows, empty):
 
 
 def test_fingerprints_of_repeated_and_null_rows(docs, rows):
-    assert fingerprint.fingerprints(docs).count() == len(rows)
+    got = fingerprint.fingerprints(docs).collect()
+    ordered = sorted(((d is not None, d or 0, hashlib.md5((t or "").encode()).hexdigest(), t or "") for d, t, *_ in rows), reverse=True)
+    want = []
+    for i, (known, d, _, text) in enumerate(ordered):
+        after, half = ordered[(i + 1) % len(ordered)][3], len(text) // 2
+        want.append((d if known else None, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256)) for r in got)
+
+
+def test_fingerprints_where_an_id_or_none_holds_most_rows(spark):
+    rnd = random.Random(31)
+    data = [(rnd.choice([None, 7, 7, i]), " ".join(words(rnd, 8))) for i in range(120)]
+    pairs = [(r.doc_id, r.text, r.next_text) for r in fingerprint.with_next(spark.createDataFrame(data, "doc_id bigint, text string"), range_rows=6).collect()]
+    ordered = sorted((d is not None, d or 0, hashlib.md5(t.encode()).hexdigest(), d, t) for d, t in data)
+    assert sorted(map(str, pairs)) == sorted(str((x[3], x[4], ordered[i - 1][4])) for i, x in enumerate(ordered))
+
+
+def test_sketches_give_back_every_difference(spark):
+    """Peeling alone recovers small and large differences; sketches that are too small are tried again larger."""
+    rnd = random.Random(30)
+    data = []
+    for i, (n, common) in enumerate([(0, 0), (1, 0), (0, 9), (3, 40), (40, 5), (300, 300), (2000, 10)]):
+        shared = [rnd.getrandbits(62) for _ in range(common)]
+        data.append((i, shared + [rnd.getrandbits(62) for _ in range(n)], shared + [rnd.getrandbits(62) for _ in range(n // 2)]))
+    df = spark.createDataFrame(data, "i int, a array<bigint>, b array<bigint>")
+    want = {(i, d, s) for i, a, b in data for d, s in [(x, 1) for x in {*a} - {*b}] + [(x, -1) for x in {*b} - {*a}]}
+    for room in (fingerprint.ROOM, 0.05):
+        assert {tuple(r) for r in fingerprint.differences(df, ["i"], Scratch(spark, "t"), room).collect()} == want
+    sizes = {r.i: r.m for r in fingerprint.difference_sizes(df, ["i"], Scratch(spark, "t")).collect()}
+    assert sizes == {i: sum(w[0] == i for w in want) for i in sizes} and sum(sizes.values()) == len(want)
+    sketch = spark.createDataFrame([(data[3][1],)], "a array<bigint>").select(fingerprint.cells(F.col("a")).alias("c")).first().c
+    assert len(sketch) == 3 * fingerprint.WIDTH and all(sum(x.n for x in sketch[t * 8 : t * 8 + 8]) == 43 for t in range(3))
 
 
 def test_decontamination(spark, docs, rows, empty):
