@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marlstone.llm.common import Scratch
 from marlstone.llm.components import components
@@ -28,7 +29,7 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(shared / total) if total > 0 else 0.0
 
 
-def _rest(make_weigh: Callable, threshold: float):
+def _rest(make_weigh: Callable, threshold: float, kind: pa.DataType):
     """Links among the members of one cell: all pairs of a block, or of two blocks, that are not in one component."""
 
     def run(cell: pa.Table) -> pa.Table:
@@ -57,7 +58,7 @@ def _rest(make_weigh: Callable, threshold: float):
                 if owns[x] != owns[y] and min(keys[x] & keys[y]) == key and jaccard(sets[x], sets[y]) >= threshold:
                     found.append((nodes[x], nodes[y]))
                     owns[owns == owns[y]] = owns[x]
-        return pa.table([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+        return pa.table([pa.array([f[k] for f in found], kind) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -127,5 +128,7 @@ def link(members: DataFrame, items: DataFrame, verify: Callable, make_weigh: Cal
     dealt = waiting.join(parts, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")).cast("int"))
     cells = dealt.join(of_node, "node").join(items, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "keys", "item")
-    found = scratch.save(cells.groupBy("key", "i", "j").applyInArrow(_rest(make_weigh, threshold), "a binary, b binary"))
+    kind = members.schema["node"].dataType
+    run = _rest(make_weigh, threshold, to_arrow_type(kind))
+    found = scratch.save(cells.groupBy("key", "i", "j").applyInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}"))
     return _contract(labels, found, scratch)

@@ -1,27 +1,33 @@
 """Operator 5: passages that repeat across documents, by paragraph MinHash banding.
 
-Paragraphs are taken at two sizes. The lines of a document are compared by similarity: MinHash over five-word shingles
-in bands, exact Jaccard similarity of lines that meet in a band, and connected components of the links. Since a passage
-may also stand in the middle of lines, each document is cut into pieces as well, at the words whose hash is least
-among their ``REACH`` neighbours on either side; the cuts depend on the words around them alone, so a repeated passage
-has the same pieces wherever it stands, and pieces are compared for equality. REACH is so small that a passage of over
-50 words nearly always holds whole pieces.
+Paragraphs are taken at two sizes. The lines of at least ``LEAST_RUN`` words are compared by similarity: MinHash over
+five-word shingles in bands, exact Jaccard similarity of lines that meet in a band, and connected components of the
+links. Since a passage may also stand in the middle of lines or cover many short ones, each document is cut into pieces
+as well, at the words whose hash is least among their ``REACH`` neighbours on either side and at its ends; the cuts
+depend on the words around them alone, so a repeated passage has the same pieces wherever it stands, and pieces are
+compared for equality. REACH is so small that a passage of over 50 words nearly always holds whole pieces; where
+``LONGEST`` words have no cut, cuts are set at even distances.
 
 A line or piece repeats if its class occurs in more than one document. The repeating lines and pieces of a document are
 joined to runs of words; runs of at least ``LEAST_RUN`` words are reported. The document of least doc_id keeps its
-occurrence; all others are to be removed.
+occurrence; all others are to be removed. A run begins and ends at a cut or at the ends of a line, so of a passage in
+the middle of lines the words before its first cut and after its last, about six on either side, are not in the run.
 
 Bands are tuned: of all band shapes whose recall at the threshold is high enough, the one that needs the fewest hashes.
 In a band's bucket lines are compared with one of them, ``ROUNDS`` times, and then all pairs that are neither tested nor
 in one component by now, in blocks. Texts of candidate lines are fetched once, through a bitmap of fixed size.
 
-Null and empty texts have no paragraphs; a null doc_id counts as one document, the least; repeated rows of one doc_id
-are the same document; an empty table gives an empty result; extra columns are ignored.
+Only hashes are shuffled: those of pieces first, summed within tasks, to find which repeat; then they are taken from the
+texts again, with their places, and joined with the repeating ones, where AQE can split a hot one.
+
+A document is a row's doc_id and text: rows that are equal in both are the same document, rows of one doc_id with
+different texts are different documents, of which each has its own spans (``row_hash``). A null doc_id is the least;
+documents that share a class's least doc_id all keep their occurrences. Null and empty texts have no paragraphs; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,22 +35,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.llm.buckets import link
 from marlstone.llm.common import Scratch, slices
-from marlstone.llm.shingles import WordHashes, combine, mix
+from marlstone.llm.shingles import SHINGLE, Tokens, combine, mix, portions, sequence_hashes, sums
 
 THRESHOLD = 0.8
 RECALL = 0.98
 ROUNDS = 2
 REACH = 4
+LONGEST = 64
 LEAST_WORDS = 5
-LEAST_RUN = 15
+LEAST_RUN = 28
 BITMAP_BITS = 25
 NULL_ID = -(1 << 63)
-WORD = re.compile(r"\w+")
-NEWLINE = re.compile(r"\n")
+_LINE = np.uint64(0xA0761D6478BD642F)
 
 
 def tune_bands(threshold: float, recall: float, most_rows: int = 6, most_bands: int = 64) -> tuple[int, int]:
@@ -57,103 +62,129 @@ def tune_bands(threshold: float, recall: float, most_rows: int = 6, most_bands:
 BANDS, ROWS = tune_bands(THRESHOLD, RECALL)
 
 
-def minhash(shingles: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 9) -> list[int]:
+def minhash(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 9) -> np.ndarray:
+    """(lines, bands) of keys; a line's shingles stand from starts to ends, one at least."""
     salts = np.random.default_rng(seed).integers(1 << 62, size=(bands * rows, 2), dtype=np.uint64)
-    least = ((shingles[None, :] ^ salts[:, :1]) * (salts[:, 1:] | np.uint64(1))).min(axis=1).reshape(bands, rows)
-    out = np.arange(1, bands + 1, dtype=np.uint64)
-    for r in range(rows):
-        out = mix(out * np.uint64(31) + least[:, r])
-    return out.astype(np.int64).tolist()
-
-
-def cuts(hashes: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Word positions that begin a piece: where the hash of two words is below those before and not above those after."""
-    pairs = combine(hashes, 2) if len(hashes) > 1 else hashes
+    padded = np.append(shingles, np.uint64(0))
+    at = np.stack([starts, ends], axis=1).ravel()
+    out = np.zeros((len(starts), bands), dtype=np.uint64)
+    for k, (salt, factor) in enumerate(salts):
+        least = np.minimum.reduceat((padded ^ salt) * (factor | np.uint64(1)), at)[::2] if len(at) else out[:, 0]
+        band = k // rows
+        out[:, band] = mix(out[:, band] * np.uint64(31) + least + np.uint64(band + 1))
+    return out.astype(np.int64)
+
+
+def cuts(tokens: Tokens, reach: int = REACH, longest: int = LONGEST) -> np.ndarray:
+    """Words that begin a piece: where the hash of two words is below those before and not above those after, and the ends of texts."""
+    pairs = combine(tokens.hashes, 2) if len(tokens.hashes) > 1 else tokens.hashes
     n = len(pairs)
-    good = np.zeros(n, dtype=bool)
+    found = np.empty(0, dtype=np.int64)
     if n > 2 * reach:
         mid = pairs[reach : n - reach]
         low = np.ones(len(mid), dtype=bool)
         for d in range(1, reach + 1):
             low &= (mid < pairs[reach - d : n - reach - d]) & (mid <= pairs[reach + d : n - reach + d])
-        good[reach : n - reach] = low
-    return np.flatnonzero(good)
-
-
-def units(text: str, hashes: WordHashes) -> list[tuple[int, int, int, int, bytes, list[int] | None]]:
-    """(first word, end word, start, end, digest, band keys or None) of the lines and pieces of a text; offsets in code points."""
-    spans = [m.span() for m in WORD.finditer(text)]
-    if len(spans) < LEAST_WORDS:
-        return []
-    found = hashes.of([text[s:e].lower() for s, e in spans])
-    out = []
-    starts = np.fromiter((s for s, _ in spans), dtype=np.int64, count=len(spans))
-    ends = [m.start() for m in NEWLINE.finditer(text)] + [len(text)]
-    edges = np.unique(np.concatenate([[0], np.searchsorted(starts, ends)]))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if b - a >= LEAST_WORDS:
-            keys = np.unique(combine(found[a:b]))
-            out.append((a, b, spans[a][0], spans[b - 1][1], b"L" + _digest(found[a:b]), minhash(keys)))
-    at = cuts(found).tolist()
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        if b - a >= LEAST_WORDS:
-            out.append((a, b, spans[a][0], spans[b - 1][1], b"P" + _digest(found[a:b]), None))
-    return out
+        at = np.flatnonzero(low) + reach
+        own = tokens.text[at]
+        # A text's own words only decide.
+        found = at[(at - tokens.first[own] >= reach) & (at + reach <= tokens.first[own + 1] - 2)]
+    found = np.union1d(found, tokens.first)
+    more = np.diff(found) // longest
+    if more.any():
+        begin = np.repeat(found[:-1], more)
+        nth = np.arange(len(begin)) - np.repeat(np.cumsum(more) - more, more) + 1
+        found = np.union1d(found, begin + nth * (longest // 2))
+    return found
+
+
+def pieces(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, end words and hashes of the pieces."""
+    at = cuts(tokens)
+    starts, ends = at[:-1], at[1:]
+    keep = ends - starts >= LEAST_WORDS
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, sequence_hashes(sums(tokens.hashes), starts, ends).astype(np.int64)
+
+
+def lines(tokens: Tokens, least: int = LEAST_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, end words and hashes of the lines of at least so many words."""
+    line = tokens.line
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(line)) + 1, [len(line)]]) if len(line) else np.zeros(1, np.int64)
+    starts, ends = edges[:-1], edges[1:]
+    keep = ends - starts >= max(least, SHINGLE)
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, (sequence_hashes(sums(tokens.hashes), starts, ends) ^ _LINE).astype(np.int64)
+
+
+def row_hashes(doc_ids: list, texts: list[str]) -> np.ndarray:
+    """Of doc_id and text."""
+    found = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), (d if d is not None else NULL_ID) & ((1 << 64) - 1)) for d, t in zip(doc_ids, texts, strict=True)]
+    return np.array(found, dtype=np.uint64).astype(np.int64)
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Tokens]]:
+    """Row hashes, doc_ids and words of portions of (doc_id, text)."""
+    for batch in slices(batches):
+        ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        for part in portions(texts):
+            yield row_hashes(ids[part], texts[part]), np.array([NULL_ID if d is None else d for d in ids[part]], dtype=np.int64), Tokens(texts[part])
 
 
-def _digest(hashes: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(hashes.tobytes())[:12]
+def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
-_UNITS = "doc_id bigint, first int, until int, start bigint, end bigint, digest binary, bands array<bigint>"
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, ids, tokens in _portions(batches):
+        starts, _, digests = pieces(tokens)
+        own = tokens.text[starts]
+        yield _batch({"digest": digests, "row_hash": rows[own], "doc_id": ids[own]})
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    names = [f.split()[0] for f in _UNITS.split(", ")]
-    for batch in slices(batches):
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            d = NULL_ID if doc_id is None else doc_id
-            rows += [(d, *u) for u in units(text or "", hashes)]
-        columns = zip(*rows, strict=True) if rows else [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, ids, tokens in _portions(batches):
+        starts, ends, digests = lines(tokens)
+        own = tokens.text[starts]
+        keys = minhash(combine(tokens.hashes), starts, ends - SHINGLE + 1)
+        yield _batch({"digest": digests, "row_hash": rows[own], "doc_id": ids[own]} | {f"band{b}": keys[:, b].copy() for b in range(BANDS)})
 
 
-def _lines_of(bitmap_held):
+def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces and lines with first and end word, and first and end code point, each two in one number."""
+    for rows, ids, tokens in _portions(batches):
+        starts, ends, digests = (np.concatenate(x) for x in zip(pieces(tokens), lines(tokens), strict=True))
+        own = tokens.text[starts]
+        first = tokens.first[own]
+        spots = tokens.starts[starts] << 32 | tokens.ends[ends - 1]
+        yield _batch({"digest": digests, "row_hash": rows[own], "doc_id": ids[own], "words": (starts - first) << 32 | (ends - first), "spots": spots})
+
+
+def _shingles_of(bitmap_held):
     """(digest, shingles) of the lines whose digest is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, hashes = bitmap_held.value, WordHashes()
-        seen: set[bytes] = set()  # a line that many documents hold leaves a task once
-        for batch in slices(batches):
-            digests, shingles = [], []
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    words = WORD.findall(line)
-                    if len(words) < LEAST_WORDS:
-                        continue
-                    found = hashes.of([w.lower() for w in words])
-                    digest = b"L" + _digest(found)
-                    at = bit_of(digest)
-                    if digest not in seen and bitmap[at >> 5] >> np.uint32(at & 31) & np.uint32(1):
-                        seen.add(digest)
-                        digests.append(digest)
-                        shingles.append(np.unique(combine(found)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(shingles, pa.list_(pa.int64()))], ["digest", "shingles"])
+        bitmap = bitmap_held.value
+        seen: set[int] = set()  # a line that many documents hold leaves a task once
+        for _, _, tokens in _portions(batches):
+            starts, ends, digests = lines(tokens)
+            at = digests & ((1 << BITMAP_BITS) - 1)
+            hit = (bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+            found, kept = combine(tokens.hashes), []
+            for a, b, digest in zip(starts[hit].tolist(), ends[hit].tolist(), digests[hit].tolist(), strict=True):
+                if digest not in seen:
+                    seen.add(digest)
+                    kept.append((digest, np.unique(found[a : b - SHINGLE + 1]).astype(np.int64)))
+            if len(seen) > 1 << 20:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([v for _, v in kept], pa.list_(pa.int64()))], ["digest", "shingles"])
 
     return run
 
 
-def bit_of(digest: bytes) -> int:
-    """A digest is random: its last bytes choose the bit."""
-    return int.from_bytes(digest[-4:], "big") & ((1 << BITMAP_BITS) - 1)
-
-
 def _bitmap(digests: DataFrame) -> np.ndarray:
-    tail = F.conv(F.hex(F.substring("digest", -4, 4)), 16, 10).cast("long").bitwiseAND((1 << BITMAP_BITS) - 1)
-    parts = digests.select(tail.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS int))")).alias("mask"))
+    at = F.col("digest").bitwiseAND((1 << BITMAP_BITS) - 1)
+    parts = digests.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 AS int))")).alias("mask"))
     rows = parts.toPandas()  # at most 2^(BITMAP_BITS - 5) rows
     out = np.zeros(1 << (BITMAP_BITS - 5), dtype=np.uint32)
     out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).astype(np.uint32)
@@ -164,14 +195,17 @@ def _weigh():
     return lambda shingles: (np.array(shingles, dtype=np.int64), np.ones(len(shingles)))
 
 
-def _classes(lines: DataFrame, docs: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
-    """(digest, component) of the lines that share a band with another; similar ones of a band are in one component."""
-    banded = lines.select(F.col("digest").alias("node"), F.explode("bands").alias("key"))
+def _classes(banded: DataFrame, docs: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """(digest, component) of the lines that share a band with another; similar ones of a band are in one component.
+
+    ``banded`` has digest and the bands' keys, once for each line of equal words.
+    """
+    banded = banded.select(F.col("digest").alias("node"), F.explode(F.array(*[f"band{b}" for b in range(BANDS)])).alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     members = scratch.save(banded.join(shared, "key").select("key", "node"))
     candidates = scratch.save(members.select(F.col("node").alias("digest")).distinct())
     held = docs.sparkSession.sparkContext.broadcast(_bitmap(candidates))
-    fetched = docs.select("text").mapInArrow(_lines_of(held), "digest binary, shingles array<bigint>")
+    fetched = docs.select("doc_id", "text").mapInArrow(_shingles_of(held), "digest bigint, shingles array<bigint>")
     texts = scratch.save(fetched.join(candidates, "digest", "left_semi").dropDuplicates(["digest"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -182,39 +216,57 @@ def _classes(lines: DataFrame, docs: DataFrame, scratch: Scratch, threshold: flo
     return link(members, items, verify, _weigh, threshold, ROUNDS, scratch).withColumnRenamed("node", "digest")
 
 
+_RUNS = "doc_id bigint, start bigint, end bigint, n_words bigint, class_id bigint, removed boolean, row_hash bigint"
+
+
+def _runs(least_run: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for row, doc, places in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for removed in (False, True):
+                    joined: list[list[int]] = []
+                    for p in sorted((p["words"], p["spots"], p["class_id"]) for p in places if (p["class_id"] != doc) == removed):
+                        first, until, start, end = p[0] >> 32, p[0] & 0xFFFFFFFF, p[1] >> 32, p[1] & 0xFFFFFFFF
+                        if joined and first <= joined[-1][1]:
+                            last = joined[-1]
+                            last[1], last[3], last[4] = max(last[1], until), max(last[3], end), min(last[4], p[2])
+                        else:
+                            joined.append([first, until, start, end, p[2]])
+                    real = lambda d: None if d == NULL_ID else d
+                    out += [(real(doc), j[2], j[3], j[1] - j[0], real(j[4]), removed, row) for j in joined if j[1] - j[0] >= least_run]
+            columns = zip(*out, strict=True) if out else [()] * 7
+            kinds = [pa.bool_() if k == 5 else pa.int64() for k in range(7)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in _RUNS.split(", ")])
+
+    return run
+
+
 def repeats(docs: DataFrame, threshold: float = THRESHOLD, least_run: int = LEAST_RUN) -> DataFrame:
-    """One row per repeating run of a document: doc_id, start, end (code points), n_words, class_id, removed.
+    """One row per repeating run of a document: doc_id, start, end (code points), n_words, class_id, removed, row_hash.
 
     class_id is the least doc_id that holds the passage; removed is false there alone.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
-    found = scratch.save(docs.select("doc_id", "text").mapInArrow(_extract, _UNITS))
-    spread = found.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    # Lines of equal words are one node; of their equal bands any will do.
-    lines = found.where("bands IS NOT NULL").select("digest", "bands").distinct()
-    classes = _classes(lines, docs, scratch, threshold)
-    spread = scratch.save(spread)
-    of_class = (
-        classes.join(spread, "digest").groupBy("component").agg(F.min("least").alias("class_least"), F.max("most").alias("class_most"))
-    )
-    classed = classes.join(of_class, "component").where("class_least <> class_most").select("digest", F.col("class_least").alias("class_id"))
-    alone = spread.where("least <> most").join(classes, "digest", "left_anti").select("digest", F.col("least").alias("class_id"))
-    repeated = scratch.save(classed.unionByName(alone))
-    hits = (
-        found.select("doc_id", "first", "until", "start", "end", "digest")
-        .join(repeated, "digest")
-        .withColumn("removed", F.col("class_id") != F.col("doc_id"))
-    )
-    order = Window.partitionBy("doc_id", "removed").orderBy("first", "until")
-    reached = F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = hits.withColumn("new", F.when(reached.isNull() | (F.col("first") > reached), 1).otherwise(0)).withColumn(
-        "run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    joined = runs.groupBy("doc_id", "removed", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("until") - F.min("first")).alias("n_words"), F.min("class_id").alias("class_id")
-    )
-    real = lambda c: F.when(F.col(c) == NULL_ID, F.lit(None).cast("bigint")).otherwise(F.col(c)).alias(c)
-    return joined.where(F.col("n_words") >= least_run).select(real("doc_id"), "start", "end", F.col("n_words").cast("long").alias("n_words"), real("class_id"), "removed")
+    rows = docs.select("doc_id", "text")
+    held_by = [F.min("doc_id").alias("least"), F.min("row_hash").alias("one"), F.max("row_hash").alias("other")]
+    found = rows.mapInArrow(_piece_rows, "digest bigint, row_hash bigint, doc_id bigint")
+    repeated = scratch.save(found.groupBy("digest").agg(*held_by).where("one <> other").select("digest", F.col("least").alias("class_id")))
+    bands = [f"band{b}" for b in range(BANDS)]
+    lined = rows.mapInArrow(_line_rows, f"digest bigint, row_hash bigint, doc_id bigint, {', '.join(f'{b} bigint' for b in bands)}")
+    spread = scratch.save(lined.groupBy("digest").agg(*held_by, *[F.max(b).alias(b) for b in bands]))
+    scratch.release()
+    classes = _classes(spread.select("digest", *bands), docs, scratch, threshold)
+    # A line in no component stands for itself.
+    placed = spread.join(classes, "digest", "left").select("least", "one", "other", "digest", F.coalesce("component", "digest").alias("component"))
+    of_class = placed.groupBy("component").agg(F.min("least").alias("class_id"), F.min("one").alias("one"), F.max("other").alias("other")).where("one <> other")
+    lines_too = scratch.save(placed.join(of_class.select("component", "class_id"), "component").select("digest", "class_id"))
+    scratch.release()
+    places = rows.mapInArrow(_place_rows, "digest bigint, row_hash bigint, doc_id bigint, words bigint, spots bigint")
+    hits = places.join(repeated.unionByName(lines_too), "digest")
+    # Equal rows are one document: their places are a set.
+    of_row = hits.groupBy("row_hash", "doc_id").agg(F.collect_set(F.struct("words", "spots", "class_id")).alias("places"))
+    return of_row.mapInArrow(_runs(least_run), _RUNS)
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -227,10 +279,17 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = row_hashes(batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], ["doc_id", "text", "row_hash"])
+
+
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text) with the removed runs of repeats() cut out."""
-    spans = found.where("removed").groupBy(F.col("doc_id").alias("m_doc")).agg(F.collect_list(F.struct("start", "end")).alias("m_spans"))
-    joined = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("m_doc")), "left").select("doc_id", "text", "m_spans")
+    """(doc_id, text) of every row, with the removed runs of repeats() cut out."""
+    spans = found.where("removed").groupBy(F.col("row_hash").alias("m_row")).agg(F.collect_list(F.struct("start", "end")).alias("m_spans"))
+    hashed = docs.select("doc_id", "text").mapInArrow(_with_hash, "doc_id bigint, text string, row_hash bigint")
+    joined = hashed.join(spans, F.col("row_hash") == F.col("m_row"), "left").select("doc_id", "text", "m_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import components, decontaminate, fingerprint, linededup, mixing, neardup, pii, quality, sharding, substrings, toxicity
 from marlstone.llm.common import Scratch
+from marlstone.llm.shingles import Tokens
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 EXTRA = {"shard": 1, "size": 2, "copy": 3, "n_copies": 4, "shuffle_key": "x", "node": "y", "key": "z", "label": 5, "score": 6}
@@ -182,23 +184,68 @@ def test_substrings_of_many_families_in_one_bucket(spark):
     lines = [f"{common} {' '.join(words(rnd, 14))}" for _ in range(150)]
     texts = lines + [line + f" z{i}" for i, line in enumerate(lines)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    hashes = substrings.WordHashes()
-    sets = [np.unique(substrings.combine(hashes.of(t.split()))) for t in texts]
-    keys = [set(substrings.minhash(s)) for s in sets]
+    tokens = Tokens(texts)
+    starts, ends, digests = substrings.lines(tokens)
+    assert len(digests) == len(texts)
+    shingles = substrings.combine(tokens.hashes)
+    sets = [np.unique(shingles[a : b - 4]) for a, b in zip(starts, ends, strict=True)]
+    keys = [set(k) for k in substrings.minhash(shingles, starts, ends - 4).tolist()]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if keys[i] & keys[j] and neardup.jaccard((sets[i], np.ones(len(sets[i]))), (sets[j], np.ones(len(sets[j])))) >= 0.8]
     root = components.brute_force(links)
     # Whole lines: the words that only the two lines of a family share are in the reported run as well.
     whole = {r.doc_id for r in substrings.repeats(df).collect() if r.start == 0 and r.end == len(texts[r.doc_id])}
     assert {i for link in links for i in link} <= whole
-    lines = df.select("doc_id", "text").mapInArrow(substrings._extract, substrings._UNITS).where("bands IS NOT NULL").select("doc_id", "digest", "bands")
-    name = {r.doc_id: r.digest for r in lines.collect()}
-    found = substrings._classes(lines.select("digest", "bands").distinct(), df, Scratch(spark, "t"), 0.8).collect()
+    banded = df.select("doc_id", "text").mapInArrow(substrings._line_rows, "digest bigint, row_hash bigint, doc_id bigint, " + ", ".join(f"band{i} bigint" for i in range(substrings.BANDS)))
+    found = substrings._classes(banded.drop("row_hash", "doc_id").distinct(), df, Scratch(spark, "t"), 0.8).collect()
     got = {r.digest: r.component for r in found}
-    of = [got.get(name[i], name[i]) for i in range(len(texts))]
+    of = [got.get(d, d) for d in digests.tolist()]
     assert max(sum(k in s for s in keys) for k in set().union(*keys)) > 60 and len(links) > 100
     assert all((of[i] == of[j]) == (root.get(i, i) == root.get(j, j)) for i in range(len(texts)) for j in range(i))
 
 
+def grams(texts, n):
+    """Which texts share n words in a row with another."""
+    held: dict = {}
+    for i, t in enumerate(texts):
+        found = re.findall(r"\w+", (t or "").lower())
+        for k in range(len(found) - n + 1):
+            held.setdefault(tuple(found[k : k + n]), set()).add(i)
+    return {i for s in held.values() if len(s) > 1 for i in s}
+
+
+def test_substrings_against_brute_force(spark):
+    """Texts that share 65 words in a row are found, wherever these stand and however they are split into lines; texts that share no 20 are not."""
+    rnd = random.Random(15)
+    passages = [words(rnd, n) for n in (22, 65, 70, 90, 150)]
+    texts = []
+    for i in range(150):
+        w = words(rnd, rnd.randrange(0, 200))
+        if i % 3 == 0:
+            at = rnd.randrange(len(w) + 1)
+            w[at:at] = [x.upper() if i % 2 else x for x in passages[i % 5]]
+        texts.append("".join(x + rnd.choice([" ", " ", " ", ", ", "\n"]) for x in w))
+    got = substrings.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    found = {r.doc_id for r in got}
+    assert grams(texts, 65) <= found <= grams(texts, 20) and len(found) > 30
+    for r in got:
+        assert r.n_words == len(re.findall(r"\w+", texts[r.doc_id][r.start : r.end])) >= substrings.LEAST_RUN
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    rnd = random.Random(16)
+    passage = " ".join(words(rnd, 80))
+    a, b, c, d = (" ".join(words(rnd, 70)) for _ in range(4))
+    data = [(1, a + " " + passage), (5, b), (5, c + " " + passage), (5, c + " " + passage), (None, d), (None, ""), (None, None), (7, "é" * 5000)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = substrings.repeats(df)
+    assert sorted((r.doc_id, r.removed) for r in got.collect()) == [(1, False), (5, True)]
+    cut = [tuple(r) for r in substrings.remove(df, got).collect()]
+    assert len(cut) == len(data) and all(row in cut for row in data[:2] + data[4:]) and sum(r[0] == 5 and r[1].startswith(c) and len(r[1]) < 90 + len(c) for r in cut) == 2
+    # Rows that share the least id all keep theirs; equal rows are one document.
+    same = spark.createDataFrame([(None, a + passage), (None, b + passage), (3, c), (3, c)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.removed) for r in substrings.repeats(same).collect()} == {(None, False)}
+
+
 def test_near_duplicates(spark, docs, rows, empty):
     rnd = random.Random(6)
     base = [words(rnd, 120) for _ in range(12)]
