@@ -1,5 +1,7 @@
 """Operators against small literal cases."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -92,6 +94,61 @@ def test_split_covers_all_but_separators(text, overlap):
     assert not bytes(b for b, h in zip(data, held, strict=True) if not h).decode("utf-8", "ignore").strip(" \n.,")
 
 
+def plain_groups(parts, total, chunk_size, overlap, min_chunk):
+    """The least-cost passages by trying every start and every plan before it."""
+    n, gap = len(parts.start), lambda d: sum(512 // j for j in range(1, d + 1))
+    rest = lambda x: (total - x) * 512 // overlap if overlap else 0
+    level, before = [*parts.level, 0], [*parts.before, 2]
+    plans = [(0, [])]
+    rests = [rest(0)]
+    for i in range(n):
+        found = []
+        for s in range(i, -1, -1):
+            size = parts.end[i] - parts.start[s]
+            if size > chunk_size and s < i:
+                break
+            low, wide = min(parts.level[s + 1 : i + 1], default=10**6), max(parts.inside[s + 1 : i + 1], default=0)
+            cost = gap(level[s] - low) + gap(level[i + 1] - low) + 64 * (max(0, wide - before[s]) + max(0, wide - before[i + 1])) + (1_048_576 if size < min_chunk else 0)
+            own = (int(parts.start[s]), int(parts.end[i]))
+            if size > chunk_size:
+                found.append((cost + plans[s][0], [*plans[s][1], own]))
+                continue
+            if overlap:
+                reach = [p for p in range(s, i + 1) if p == s or parts.end[p] <= parts.start[s] + overlap]
+                p = min(reach, key=lambda p: (plans[p][0] + rests[p], -p))
+                cost += 512 + min(0, rests[p] - rest(parts.start[s]))
+            else:
+                p, cost = s, cost + 256
+            found.append((cost + plans[p][0], [*plans[p][1], own]))
+        plans.append(min(found, key=lambda f: f[0]))
+        rests.append(rest(parts.end[i]))
+    return plans[-1][1]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "é", "c. ", "\n", "\n\n", " ", ", ", "; ", "\r\n", "—", "  x", "long" * 12]), max_size=60), st.integers(0, 20), st.integers(20, 60))
+def test_split_is_the_cheapest(parts, overlap, size):
+    text = "".join(parts)
+    overlap = min(overlap, 15)
+    found = splitter.fragments(text, overlap or 15)
+    total = len(text.encode())
+    assert splitter.grouped(found, total, size, overlap, 15) == plain_groups(found, total, size, overlap, 15)
+
+
+def test_split_along_syntax():
+    source = "".join(f"def name{i}(a, b):\n    \"\"\"First. Second, third; fourth.\"\"\"\n    if a:\n        b = [a, {i}, 'x, y. z']\n\n    return a + b\n\n\n" for i in range(12))
+    pieces = splitter.split(source, 260, 0, 100, "python")
+    assert [source[p.start :].startswith("def name") for p in pieces] == [True] * len(pieces) and len(pieces) >= 6
+    body = "    def inner(self):\n        return [1, 2]\n" * 30  # an indented body, and one that is no Python
+    for text in (body, body + "}"):
+        got = splitter.split(text, 200, 20, 80, "python")
+        assert len(got) > 3 and got[0].start_line == 1 and all(p.end - p.start <= 200 for p in got)
+    for n in (1, 2, 40):
+        leaves = splitter.fragments(source, n, "python")
+        held = "".join(source[a:b] for a, b in zip(leaves.start, leaves.end, strict=True))
+        assert re.findall(r"\w", source) == re.findall(r"\w", held)
+
+
 def test_split_chunks(spark):
     body = "\n".join(f"line {i} of some text." for i in range(400))
     one = spark.createDataFrame([("f", body, 11, 410, 0, 1, 0), ("g", "x", 1, 1, 0, 1, 0)], "file_path string, content string, start_line long, end_line long, sub_chunk_idx long, total_sub_chunks long, chunk_strategy int")
