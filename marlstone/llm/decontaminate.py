@@ -9,12 +9,16 @@ at most (1 - threshold) of the item's words. Three steps find these windows:
 2. CGK random walks embed window and item so that few edits become few differing positions; a repetition hashes
    ``BITS`` sampled positions of its own walk, and a window goes on if any repetition agrees. The number of
    repetitions is set from the items: their words are edited as far as the threshold allows, the share of agreeing
-   positions is measured, and repetitions are added until the target recall is reached.
+   positions is measured, and repetitions are added until the target recall is reached; items that would need more than
+   ``MOST_REPETITIONS`` skip this step, so all their windows go on.
 3. The exact edit distance of the item to the best-fitting part of the surrounding words decides.
 
+The walks could look at every window of a document, but a document has as many windows of each item length as words,
+and each walk takes twice the item's words in steps: hundreds of times the cost of step 1, which is exact.
+
 The items are sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text, and every block meets all documents in
-whole. Null or short items (under ``LEAST_WORDS`` words) cannot be told from chance and match nothing; null and empty
-documents leak nothing; repeated rows are reported each; a null doc_id is reported as null; no items or documents give
+whole. Items of fewer than ``least_words`` words (five, a shingle, if not said otherwise) cannot be told from chance and
+match nothing, as null ones; with least_words = 1 all are searched. Null and empty documents leak nothing; repeated rows are reported each; a null doc_id is reported as null; no items or documents give
 an empty result; extra columns are ignored.
 """
 
@@ -28,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import slices
-from marlstone.llm.shingles import WORD, WordHashes, combine, mix
+from marlstone.llm.shingles import Tokens, combine, mix, portions
 
 THRESHOLD = 0.8
 RECALL = 0.99
 LEAST_WORDS = 5
 ANCHOR = 3
 BITS = 2
-MOST_REPETITIONS = 96
+MOST_REPETITIONS = 512
 #: Edited items on which the number of repetitions is set.
 TUNE_EDITED = 192
 BLOCK_BYTES = 8 << 20
@@ -47,15 +51,11 @@ _FILTER_BITS = 22
 class Items:
     """A block of benchmark items, indexed for all three steps."""
 
-    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, recall: float = RECALL, seed: int = SEED):
-        hashes = WordHashes()
+    def __init__(self, items: list[tuple[int | None, str]], threshold: float = THRESHOLD, recall: float = RECALL, least_words: int = LEAST_WORDS, seed: int = SEED):
         self.threshold = threshold
-        self.ids, self.words = [], []
-        for item_id, text in items:
-            found = hashes.of(WORD.findall((text or "").lower()))
-            if len(found) >= LEAST_WORDS:
-                self.ids.append(item_id)
-                self.words.append(found)
+        found = words_of([text for _, text in items])
+        kept = [i for i, w in enumerate(found) if len(w) >= max(least_words, 1)]
+        self.ids, self.words = [items[i][0] for i in kept], [found[i] for i in kept]
         self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
         self.most_edits = [self.edits(n) for n in self.lengths.tolist()]
         self._anchors()
@@ -102,35 +102,41 @@ class Items:
     def _embed(self, recall: float, seed: int) -> None:
         rng = np.random.default_rng(seed)
         longest = int(self.lengths.max(initial=1))
-        self.salts = rng.integers(1 << 63, size=(2 * longest + 1, MOST_REPETITIONS), dtype=np.uint64)
-        self.samples = rng.random((BITS, MOST_REPETITIONS))
-        everything = slice(0, MOST_REPETITIONS)
-        if not self.words:
-            self.repetitions, self.keys = 0, np.zeros((0, 0), np.uint64)
-            return
-        tokens = np.concatenate(self.words)
-        starts = np.cumsum([0, *self.lengths[:-1]])
-        keys = np.concatenate([self._walk(tokens[s : s + n], np.array([0]), np.array([n]), np.array([n]), everything) for s, n in zip(starts, self.lengths, strict=True)])
-        # Edited as far as allowed: the repetitions that most of such items need.
-        agree = []
-        for i in rng.integers(len(self.words), size=TUNE_EDITED):
-            w = self.words[i].tolist()
-            for _ in range(self.most_edits[i]):
-                at = int(rng.integers(len(w)))
-                kind = rng.integers(3)
-                if kind == 0:
-                    w[at] = int(rng.integers(1 << 62))
-                elif kind == 1:
-                    w.insert(at, int(rng.integers(1 << 62)))
-                elif len(w) > 1:
-                    del w[at]
-            edited = np.array(w, dtype=np.uint64)
-            mine = self._walk(edited, np.array([0]), np.array([min(len(w), len(self.words[i]))]), np.array([len(self.words[i])]), everything)
-            agree.append((mine[0] == keys[i]).cumsum())
-        found = np.stack(agree) > 0
-        enough = np.flatnonzero(found.mean(axis=0) >= recall)
-        self.repetitions = int(enough[0]) + 1 if len(enough) else MOST_REPETITIONS
-        self.keys = keys[:, : self.repetitions]
+        edited = [(i, self._edited(self.words[i].tolist(), self.most_edits[i], rng)) for i in (rng.integers(len(self.words), size=TUNE_EDITED).tolist() if self.words else [])]
+        n = 16
+        while True:
+            draw = np.random.default_rng(seed + 1)
+            # Repetition by repetition, so that more of them leave the first ones as they are.
+            drawn = [(draw.integers(1 << 63, size=2 * longest + 1, dtype=np.uint64), draw.random(BITS)) for _ in range(n)]
+            self.salts, self.samples = (np.stack(x, axis=1) for x in zip(*drawn, strict=True))
+            everything = slice(0, n)
+            whole = lambda w, length: self._walk(w, np.array([0]), np.array([min(len(w), length)]), np.array([length]), everything)
+            self.keys = np.concatenate([whole(w, len(w)) for w in self.words]) if self.words else np.zeros((0, n), np.uint64)
+            # Edited as far as allowed: the repetitions that most of such items need.
+            agree = np.stack([(whole(w, len(self.words[i]))[0] == self.keys[i]).cumsum() > 0 for i, w in edited]) if edited else np.ones((1, n), dtype=bool)
+            enough = np.flatnonzero(agree.mean(axis=0) >= recall)
+            if len(enough) or n >= MOST_REPETITIONS:
+                break
+            n *= 2
+        self.repetitions = int(enough[0]) + 1 if len(enough) else n
+        self.keys = self.keys[:, : self.repetitions]
+        # Items whose edited forms agree too seldom go on to the exact distance in any case.
+        self.skip = np.zeros(len(self.words), dtype=bool)
+        if not len(enough):
+            self.skip[[i for (i, _), ok in zip(edited, agree[:, -1], strict=True) if not ok]] = True
+
+    @staticmethod
+    def _edited(w: list[int], n: int, rng: np.random.Generator) -> np.ndarray:
+        for _ in range(n):
+            at = int(rng.integers(len(w)))
+            kind = rng.integers(3)
+            if kind == 0:
+                w[at] = int(rng.integers(1 << 62))
+            elif kind == 1:
+                w.insert(at, int(rng.integers(1 << 62)))
+            elif len(w) > 1:
+                del w[at]
+        return np.array(w, dtype=np.uint64)
 
     def candidates(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Items, starts and documents of the windows that step 1 leaves; starts may lie up to k words outside.
@@ -180,7 +186,8 @@ class Items:
         if not len(items):
             return out
         first = ends - [len(d) for d in documents]
-        good = self.agreeing(tokens, items, np.maximum(starts, first[docs]), np.minimum(starts + self.lengths[items], ends[docs]))
+        good = self.skip[items]
+        good[~good] = self.agreeing(tokens, items[~good], np.maximum(starts, first[docs])[~good], np.minimum(starts + self.lengths[items], ends[docs])[~good])
         items, starts, docs = items[good], (starts - first[docs])[good], docs[good]
         for d, i in np.unique(np.stack([docs, items]), axis=1).T.tolist():
             own, text = np.sort(starts[(items == i) & (docs == d)]), documents[d]
@@ -198,6 +205,16 @@ class Items:
         return out
 
 
+def words_of(texts: list[str | None]) -> list[np.ndarray]:
+    """The hashes of each text's words."""
+    out = []
+    texts = [t or "" for t in texts]
+    for part in portions(texts):
+        tokens = Tokens(texts[part])
+        out += np.split(tokens.hashes, tokens.first[1:-1])
+    return out
+
+
 def fit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """The least edit distance of item to any part of text, and where the first such part ends."""
     at = np.arange(len(text) + 1)
@@ -224,24 +241,25 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
 _SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, distance bigint, item_words bigint, similarity double"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per leaked item of a document, with the best-fitting span in code points (of the lower-cased text)."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block_bytes: int = BLOCK_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
+    """One row per leaked item of a document, with the best-fitting span in code points."""
     spark = docs.sparkSession
     out = None
     for block in item_blocks(benchmark, block_bytes):
-        held = spark.sparkContext.broadcast(Items(block, threshold, recall))
+        held = spark.sparkContext.broadcast(Items(block, threshold, recall, least_words))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index, hashes = held.value, WordHashes()
+            index = held.value
             for batch in slices(batches):
                 rows = []
-                lowered = [(t or "").lower() for t in batch.column(1).to_pylist()]
-                leaks = index.leaks([hashes.of(WORD.findall(t)) for t in lowered])
-                for doc_id, lower, found in zip(batch.column(0).to_pylist(), lowered, leaks, strict=True):
-                    spans = [m.span() for m in WORD.finditer(lower)] if found else []
-                    for i, first, end, distance in found:
-                        n = int(index.lengths[i])
-                        rows.append((doc_id, index.ids[i], spans[first][0], spans[end - 1][1], distance, n, 1 - distance / n))
+                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                for part in portions(texts):
+                    tokens = Tokens(texts[part])
+                    leaks = index.leaks(np.split(tokens.hashes, tokens.first[1:-1]))
+                    for doc_id, begin, found in zip(ids[part], tokens.first.tolist(), leaks, strict=False):
+                        for i, first, end, distance in found:
+                            n = int(index.lengths[i])
+                            rows.append((doc_id, index.ids[i], int(tokens.starts[begin + first]), int(tokens.ends[begin + end - 1]), distance, n, 1 - distance / n))
                 columns = zip(*rows, strict=True) if rows else [()] * 7
                 kinds = [pa.int64()] * 6 + [pa.float64()]
                 names = ["doc_id", "item_id", "start", "end", "distance", "item_words", "similarity"]
@@ -258,23 +276,18 @@ def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, threshold: float
         held = docs.sparkSession.sparkContext.broadcast(Items(block, threshold, recall))
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index, hashes = held.value, WordHashes()
+            index = held.value
             for batch in slices(batches):
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                leaks = index.leaks([hashes.of(WORD.findall((t or "").lower())) for t in texts])
+                texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+                leaks = [found for part in portions(texts) for found in index.leaks(words_of(texts[part]))]
                 yield batch.filter(pa.array([not found for found in leaks], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs
 
 
-def brute_force(texts: list[str | None], items: list[str | None], threshold: float = THRESHOLD) -> set[tuple[int, int]]:
+def brute_force(texts: list[str | None], items: list[str | None], threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> set[tuple[int, int]]:
     """(document, item) of every leak, by the edit distance alone; for tests."""
-    hashes = WordHashes()
-    rows = [hashes.of(WORD.findall((t or "").lower())) for t in texts]
-    out = set()
-    for i, item in enumerate(items):
-        w = hashes.of(WORD.findall((item or "").lower()))
-        if len(w) >= LEAST_WORDS:
-            out |= {(d, i) for d, t in enumerate(rows) if len(t) and fit_distance(w, t)[0] <= int((1 - threshold) * len(w) + 1e-9)}
-    return out
+    rows, wanted = words_of(texts), words_of(items)
+    near = lambda w, t: len(t) and fit_distance(w, t)[0] <= int((1 - threshold) * len(w) + 1e-9)
+    return {(d, i) for i, w in enumerate(wanted) if len(w) >= max(least_words, 1) for d, t in enumerate(rows) if near(w, t)}

@@ -134,11 +134,20 @@ def test_decontamination(spark, docs, rows, empty):
         for k in range(int(0.2 * len(w)) + 2):
             planted.append((100 + len(planted), f"start here {' '.join(w)}, and on", "en", "s", 0))
             w[rnd.randrange(len(w))] = f"new{k}"
+    # Letters whose lower case is longer do not move the span; rows of one id are each searched.
+    planted += [(200, "this is TOO short", "en", "s", 0), (201, "İİ " + items[3][1], "en", "s", 0), (201, None, "en", "s", 0), (201, "İİ other", "en", "s", 0)]
     df = docs.select(*SCHEMA_COLUMNS).unionByName(spark.createDataFrame(planted, SCHEMA))
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()}
     everything = [(r[0], r[1]) for r in rows] + [(p[0], p[1]) for p in planted]
     want = {(everything[d][0], items[i][0]) for d, i in decontaminate.brute_force([t for _, t in everything], [t for _, t in items])}
     assert got <= want and len(got) >= 0.95 * len(want) and len(want) > 10
+    short = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, least_words=1).collect()}
+    every = {(everything[d][0], items[i][0]) for d, i in decontaminate.brute_force([t for _, t in everything], [t for _, t in items], least_words=1)}
+    assert short <= every and len(short) >= 0.95 * len(every) and (200, 10) in short - got
+    spans = {(r.doc_id, r.item_id): (r.start, r.end) for r in decontaminate.find_leaks(df, bench).collect()}
+    text = dict(everything)
+    a, b = spans[100, 0]
+    assert text[100][a:b].lower() == items[0][1] and spans[201, 3] == (3, 3 + len(items[3][1]))
     clean = decontaminate.decontaminate_stage(docs, bench)
     assert clean.columns == docs.columns and clean.count() == len(rows)
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
