@@ -1,10 +1,10 @@
 """Operator 6: near-duplicates by consistent weighted sampling over TF-IDF shingles.
 
 A document is a weighted set of five-word shingles: weight = occurrences * (1 + mean idf of the words), with idf the
-log of N / df, scaled to 0..1, where df counts the documents of the whole corpus that hold the word. Words rarer than
-one document in ``IDF_SPAN`` weigh as one in ``IDF_SPAN``; the others, at most IDF_SPAN times a document's distinct
-words, are what the tasks are sent. (Shingle counts of their own would let a large group of copies devalue all that
-its members share, so that their differences alone would decide.)
+log of N / df, scaled by log N to 0..1, where df counts the documents of the whole corpus that hold the word. The counts
+stand in a count-min sketch of ``DEPTH`` rows of 2 ** ``IDF_BITS`` cells, so what the tasks are sent has a fixed size;
+rare words that share cells weigh a little less than they should, the same in all documents. (Shingle counts of their own
+would let a large group of copies devalue all that its members share, so that their differences alone would decide.)
 
 Improved consistent weighted sampling draws for each sample the shingle and level that minimise Ioffe's a-value; equal
 draws have the probability of the weighted Jaccard similarity. ``ROWS`` draws make a band, ``BANDS`` bands a signature;
@@ -23,7 +23,6 @@ repeated rows are documents of one node; an empty table gives an empty result; e
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +34,12 @@ from pyspark.sql import types as T
 
 from marlstone.llm.buckets import jaccard, link
 from marlstone.llm.common import Scratch, slices
-from marlstone.llm.shingles import WordHashes, combine, means, mix, words
+from marlstone.llm.shingles import SHINGLE, Tokens, combine, mix, portions
 
 THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
 ROUNDS = 4
-IDF_SPAN = 1_000
+DEPTH, IDF_BITS = 2, 19
 BITMAP_BITS = 25
 NULL_ID = -(1 << 63)
 
@@ -70,45 +69,76 @@ def text_node(text: str | None) -> bytes:
     return xxhash.xxh3_128_digest((text or "").encode())
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _cells(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """For each row of the sketch the cells of the words."""
+    for row in range(DEPTH):
+        yield ((hashes >> np.uint64(row * IDF_BITS)) & np.uint64((1 << IDF_BITS) - 1)).astype(np.int64) + (row << IDF_BITS)
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-        counts.clear()
-        return out
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(DEPTH << IDF_BITS, dtype=np.int64)
     for batch in slices(batches):
-        for text in batch.column(0).to_pylist():
-            counts.update(set(words(text or "")))
-        if len(counts) > 300_000:
-            yield flush()
-    yield flush()
-
-
-def word_idf(docs: DataFrame, span: int = IDF_SPAN) -> dict[str, float]:
-    """Scaled idf (0 to 1) of the words held by at least one document in ``span``; of others it is 1."""
-    n = docs.count()
-    df = docs.select("text").mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("df"))
-    frequent = df.where(F.col("df") * span > n).collect()  # at most span * distinct words of a document
-    return {r["word"]: float(np.log(n / r["df"]) / np.log(span)) for r in frequent}
+        texts = [t or "" for t in batch.column(0).to_pylist()]
+        for part in portions(texts):
+            tokens = Tokens(texts[part])
+            order = np.lexsort((tokens.hashes, tokens.text))
+            own, word = tokens.text[order], tokens.hashes[order]
+            distinct = np.ones(len(word), dtype=bool)
+            distinct[1:] = (own[1:] != own[:-1]) | (word[1:] != word[:-1])
+            for cells in _cells(word[distinct]):
+                np.add.at(counts, cells, 1)
+    used = np.flatnonzero(counts)
+    for at in range(0, len(used), 1 << 16):
+        part = used[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], ["cell", "n"])
+
+
+def word_idf(docs: DataFrame) -> np.ndarray:
+    """The sketch's cells as scaled idf (0 to 1): the log of N / df by the log of N."""
+    n = max(docs.count(), 2)
+    found = docs.select("text").mapInArrow(_word_counts, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("df")).toArrow()  # of fixed size
+    df = np.ones(DEPTH << IDF_BITS)
+    df[found.column("cell").to_numpy()] = found.column("df").to_numpy()
+    return np.clip(np.log(n / df) / np.log(n), 0, 1).astype(np.float32)
 
 
 class Weigher:
     """Turns texts into weighted sets of shingles."""
 
-    def __init__(self, idf: dict[str, float]):
-        self.idf, self.hashes = idf, WordHashes()
-
-    def weighted(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = words(text)
-        if not found:
-            return np.empty(0, np.uint64), np.empty(0)
-        idf = self.idf
-        values = np.array([idf.get(w, 1.0) for w in found])
-        keys = combine(self.hashes.of(found))
-        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-        return keys, counts * (1 + means(values)[first])
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf
+
+    def weighted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and weights of the texts' sets, one after the other, and where each ends."""
+        tokens = Tokens(texts)
+        h, sizes = tokens.hashes, np.diff(tokens.first)
+        values = np.max([self.idf[c] for c in _cells(h)], axis=0).astype(np.float64)
+        n = max(len(h) - SHINGLE + 1, 0)
+        own = tokens.text[:n]
+        full = np.flatnonzero(np.arange(n) + SHINGLE <= tokens.first[own + 1])
+        keys, own = combine(h)[full] if n else h[:0], own[full]
+        # Word by word, so that a shingle weighs the same wherever it stands.
+        rarity = sum(values[full + i] for i in range(SHINGLE)) / SHINGLE
+        short = np.flatnonzero((sizes > 0) & (sizes < SHINGLE))
+        if len(short):
+            parts = [slice(tokens.first[i], tokens.first[i + 1]) for i in short]
+            keys = np.concatenate([keys, *[combine(h[p]) for p in parts]])
+            own = np.concatenate([own, short])
+            rarity = np.concatenate([rarity, [values[p].mean() for p in parts]])
+        order = np.lexsort((keys, own))
+        keys, own, rarity = keys[order], own[order], rarity[order]
+        first = np.ones(len(keys), dtype=bool)
+        first[1:] = (own[1:] != own[:-1]) | (keys[1:] != keys[:-1])
+        at = np.flatnonzero(first)
+        counts = np.diff(np.append(at, len(keys)))
+        return keys[at], counts * (1 + rarity[at]), np.searchsorted(own[at], np.arange(len(texts)), "right")
+
+    def sets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for part in portions(texts):
+            keys, weights, ends = self.weighted(texts[part])
+            out += zip(np.split(keys, ends[:-1]), np.split(weights, ends[:-1]), strict=True)
+        return out
 
 
 def band_keys(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> np.ndarray:
@@ -136,19 +166,18 @@ def band_keys(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, bands:
     return out
 
 
-def _signatures(idf: dict[str, float], bands: int, rows: int):
+def _signatures(held, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigher = Weigher(idf)
+        weigher = Weigher(held.value)
         for batch in slices(batches):
-            texts = batch.column(1).to_pylist()
-            sets = [weigher.weighted(t or "") for t in texts]
-            full = [i for i, s in enumerate(sets) if len(s[0])]
-            found: list = [[] for _ in texts]
-            if full:
-                starts = np.cumsum([0, *[len(sets[i][0]) for i in full[:-1]]])
-                keys = band_keys(np.concatenate([sets[i][0] for i in full]), np.concatenate([sets[i][1] for i in full]), starts, bands, rows)
-                for i, row in zip(full, keys.astype(np.int64).tolist(), strict=True):
-                    found[i] = row
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found: list = []
+            for part in portions(texts):
+                keys, weights, ends = weigher.weighted(texts[part])
+                starts = np.concatenate([[0], ends[:-1]])
+                full = np.flatnonzero(ends > starts)
+                signed = iter(band_keys(keys, weights, starts[full], bands, rows).astype(np.int64).tolist() if len(full) else [])
+                found += [next(signed) if e > s else [] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([text_node(t) for t in texts], pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "bands"]
             )
@@ -156,21 +185,32 @@ def _signatures(idf: dict[str, float], bands: int, rows: int):
     return run
 
 
-def _verify(idf: dict[str, float], threshold: float):
+def _verify(held, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigher = Weigher(idf)
-        node, kept = None, None
+        weigher = Weigher(held.value)
         for batch in slices(batches):
-            good = []
-            for a, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                if a != node:
-                    node, kept = a, weigher.weighted(text_a)
-                good.append(jaccard(kept, weigher.weighted(text_b)) >= threshold)
+            a, texts_a, texts_b = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            # One text stands in many pairs that follow each other.
+            at, distinct = [], []
+            for i, node in enumerate(a):
+                if not i or node != a[i - 1]:
+                    distinct.append(texts_a[i])
+                at.append(len(distinct) - 1)
+            sets = weigher.sets(distinct)
+            good = [jaccard(sets[i], b) >= threshold for i, b in zip(at, weigher.sets(texts_b), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
 
     return run
 
 
+def _weigh_one(held):
+    def make():
+        weigher = Weigher(held.value)
+        return lambda text: weigher.sets([text])[0]
+
+    return make
+
+
 def _bit(node: Column, doc_id: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(node, doc_id), F.lit(1 << bits))
 
@@ -190,7 +230,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     whether the row, or an equal one, is to stand for the class."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    idf = word_idf(docs)
+    idf = spark.sparkContext.broadcast(word_idf(docs))
     signed = scratch.save(docs.select("doc_id", "text").mapInArrow(_signatures(idf, bands, rows), "doc_id bigint, node binary, bands array<bigint>"))
     nodes = signed.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least_id"), F.min("doc_id").alias("known_id"), F.count("*").alias("n_rows"))
     banded = signed.select("node", F.explode("bands").alias("key")).distinct()
@@ -221,7 +261,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.mapInArrow(_verify(idf, threshold), "a binary, b binary, good boolean")
 
-    labels = link(members, texts.withColumnRenamed("text", "item"), verify, lambda: Weigher(idf).weighted, threshold, rounds, scratch)
+    labels = link(members, texts.withColumnRenamed("text", "item"), verify, _weigh_one(idf), threshold, rounds, scratch)
     classed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # The row that stands for the class: of least id, a null one only where no row has an id; of equal ids the least node.
     first = F.min(F.struct(F.col("known_id").isNull().alias("unknown"), F.coalesce("known_id", F.lit(NULL_ID)).alias("m_doc"), "node")).alias("first")

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import xxhash
 
-WORD = re.compile(r"\w+")
 SHINGLE = 5
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -106,23 +98,6 @@ def portions(texts: list[str], most: int = CHARS):
         yield slice(begin, len(texts))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; up to ``most`` distinct words are remembered."""
-
-    def __init__(self, most: int = 200_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return h
-
-    def of(self, found: list[str]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
-
-
 def combine(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """Hashes of the runs of ``size`` words; a shorter text is one run of all its words."""
     if not len(hashes):
@@ -134,11 +109,3 @@ def combine(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
         total = (total ^ hashes[i : i + n]) * _P[i % 5] + (total >> np.uint64(29))
     return mix(total)
 
-
-def means(values: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Means over the same runs."""
-    if not len(values):
-        return values
-    size = min(size, len(values))
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    return (sums[size:] - sums[:-size]) / size

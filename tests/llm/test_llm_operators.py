@@ -267,7 +267,7 @@ def test_near_duplicates(spark, docs, rows, empty):
             texts.append(" ".join(v))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     weigher = neardup.Weigher(neardup.word_idf(df))
-    sets = [weigher.weighted(t) for t in texts]
+    sets = weigher.sets(texts)
     links = [(i, j) for i in range(len(sets)) for j in range(i) if neardup.jaccard(sets[i], sets[j]) >= 0.8]
     root = components.brute_force(links)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
@@ -287,7 +287,7 @@ def test_near_duplicates_in_a_bucket_of_unlike_texts(spark):
     texts += [t + f" q{i}" for i, t in enumerate(texts[:60])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     weigher = neardup.Weigher(neardup.word_idf(df))
-    sets = [weigher.weighted(t) for t in texts]
+    sets = weigher.sets(texts)
     starts = np.cumsum([0, *[len(s[0]) for s in sets[:-1]]])
     keys = neardup.band_keys(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), starts, 1, 1)[:, 0].tolist()
     links = [(i, j) for i in range(len(sets)) for j in range(i) if keys[i] == keys[j] and neardup.jaccard(sets[i], sets[j]) >= 0.8]
