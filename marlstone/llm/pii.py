@@ -4,14 +4,15 @@ Base spans are e-mail addresses, IP addresses, card and phone numbers by pattern
 normalised values are the corpus's protected entities.
 
 A term (a word of three letters or more) is judged by what it tells about an entity. Over all documents, n_e hold the
-entity, n_t the term, and n_te hold the term among the ``WORDS`` words beside the entity. The pointwise mutual
-information log2(n_te * N / (n_e * n_t)) is compared with the entity's own information log2(N / n_e): at ``ALPHA`` of it
-or more the term discloses the entity, if at least ``SUPPORT`` different texts show the two together. In every document
-that holds the entity, all occurrences of its disclosing terms get spans of kind "term" and are generalised with the
-base spans by redact().
+entity, n_t the term, and n_te both, wherever they stand in the text. The pointwise mutual information
+log2(n_te * N / (n_e * n_t)) is compared with the entity's own information log2(N / n_e): at ``ALPHA`` of it or more the
+term discloses the entity, if at least ``SUPPORT`` different texts hold the two together. In every document that holds
+the entity, all occurrences of its disclosing terms get spans of kind "term" and are generalised with the base spans by
+redact().
 
-All counts cover all documents. Word counts are summed within tasks before they are shuffled; texts are shuffled only
-of documents that hold an entity with disclosing terms.
+All counts cover all documents. Entities that too few texts hold for any term to have the support are left out before
+terms are counted. Counts are summed within tasks before they are shuffled; texts are shuffled only of documents that
+hold one of the other entities, one for each text.
 
 A null text is empty and has no spans; a null doc_id is reported as null; repeated rows are counted and reported each;
 an empty table gives an empty result; extra columns are ignored.
@@ -27,9 +28,7 @@ from marlstone.llm.common import Scratch, text_or_empty
 KINDS = ("email", "ip", "card", "phone", "term")
 ALPHA = 0.9
 SUPPORT = 3
-WORDS = 5
-#: Characters read on either side for those words.
-REACH = 120
+NULL_ID = -(1 << 63)
 
 # The patterns match what the plain ones of the contract match. Possessive repeats and the look-behinds keep every
 # failing start from being tried again within the same run of characters.
@@ -105,62 +104,56 @@ def entity(x: Column) -> Column:
     return F.concat(x["k"].cast("string"), F.lit(":"), value)
 
 
-def beside(text: Column, x: Column) -> Column:
-    """The words on either side of a span."""
-    before = F.regexp_extract_all(F.lower(F.substring(text, F.greatest(x["s"] + 1 - REACH, F.lit(1)), F.least(x["s"], F.lit(REACH)))), F.lit(TERM), F.lit(0))
-    after = F.regexp_extract_all(F.lower(F.substring(text, x["e"] + 1, F.lit(REACH))), F.lit(TERM), F.lit(0))
-    return F.concat(F.slice(F.reverse(before), 1, WORDS), F.slice(after, 1, WORDS))
-
-
 def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, scratch: Scratch, alpha: float, support: int) -> DataFrame:
-    """(entity, term) of the terms that disclose an entity. found has key, entities and pairs of each document."""
-    shown = found.select("key", F.explode("pairs").alias("p")).select("key", "p.entity", "p.term")
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def disclosing(shown: DataFrame, held: DataFrame, docs: DataFrame, scratch: Scratch, alpha: float, support: int) -> DataFrame:
+    """(entity, term) of the terms that disclose an entity.
+
+    shown has key, entity, n (the documents of a text and an entity in it) and n_e; held has key, text of those texts.
+    """
+    terms = held.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
     joint = (
-        shown.groupBy("entity", "term", "key")
-        .agg(F.count("*").alias("n"))
+        terms.join(shown.select("key", "entity", "n", "n_e"), "key")
         .groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
+        .agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"), F.max("n_e").alias("n_e"))
         .where(F.col("texts") >= support)
     )
-    n_e = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))
-    n_t = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = docs.select(F.explode(terms_of(text_or_empty())).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n = docs.agg(F.count("*").alias("n"))
-    judged = (
-        scratch.save(joint).join(n_e, "entity").join(n_t, "term").crossJoin(F.broadcast(n))  # n is one row
-    )
+    judged = scratch.save(joint).join(n_t, "term").crossJoin(F.broadcast(n))  # n is one row
     told = F.log2(F.col("n_te") * F.col("n") / (F.col("n_e") * F.col("n_t")).cast("double"))
-    held = F.log2(F.col("n") / F.col("n_e"))
-    return judged.where((held > 0) & (told >= alpha * held)).select("entity", "term")
+    own = F.log2(F.col("n") / F.col("n_e"))
+    return judged.where((own > 0) & (told >= alpha * own)).select("entity", "term")
 
 
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """One row per document: doc_id, key (md5 of the text), base and spans (arrays of start, kind, end, text)."""
     scratch = Scratch(docs.sparkSession, "pii")
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    based = rows.select("doc_id", "text", F.md5("text").alias("key"), base_spans(F.col("text")).alias("base"))
-    pairs = F.flatten(
-        F.transform("base", lambda x: F.transform(beside(F.col("text"), x), lambda t: F.struct(entity(x).alias("entity"), t.alias("term"))))
-    )
-    found = scratch.save(
-        based.select("doc_id", "key", "base", F.array_distinct(F.transform("base", entity)).alias("entities"), F.array_distinct(pairs).alias("pairs"))
-    )
-    terms = scratch.save(disclosing(found, docs, scratch, alpha, support))
-    of_text = (
-        found.select("key", F.explode("entities").alias("entity")).distinct().join(terms, "entity").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    )
+    based = rows.select("doc_id", F.md5("text").alias("key"), base_spans(F.col("text")).alias("base"))
+    found = scratch.save(based.withColumn("entities", F.array_distinct(F.transform("base", entity))))
+    own_id = F.coalesce("doc_id", F.lit(NULL_ID)).alias("own_id")
+    by_text = scratch.save(found.select("key", own_id, F.explode("entities").alias("entity")).groupBy("entity", "key").agg(F.count("*").alias("n"), F.min("own_id").alias("one")))
+    common = by_text.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    shown = scratch.save(by_text.join(common.select("entity", "n_e"), "entity"))
+    # One document of each text: copies do not meet by their text, but by text and id.
+    one = shown.select("key", F.col("one").alias("own_id")).distinct()
+    likely = rows.where(F.col("text").rlike("[0-9@]")).select(F.md5("text").alias("key"), own_id, "text")
+    held = scratch.save(likely.join(one, ["key", "own_id"], "left_semi").dropDuplicates(["key", "own_id"]).select("key", "text"))
+    terms = scratch.save(disclosing(shown, held, docs, scratch, alpha, support))
+    of_text = shown.join(terms, "entity").groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     # Terms are letters only, so they need no quoting.
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{M}])"))
-    texts = rows.where(F.col("text").rlike("[0-9@]")).withColumn("key", F.md5("text")).select("key", "text")
-    spotted = (
-        texts.join(of_text, "key").dropDuplicates(["key"]).select("key", matches(F.col("text"), pattern, 4).alias("told"))
-    )
+    spotted = scratch.save(held.join(of_text, "key").select("key", matches(F.col("text"), pattern, 4).alias("told")))
     free = F.filter("told", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
     both = F.when(F.col("told").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", free)))
     return found.join(spotted, "key", "left").select("doc_id", "key", "base", both.alias("spans"))

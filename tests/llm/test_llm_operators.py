@@ -156,9 +156,49 @@ def test_decontamination(spark, docs, rows, empty):
 SCHEMA_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
+KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def plain_spans(text):
+    """The contract's base spans, word for word: (start, kind, end, match)."""
+    out = []
+    for k, (name, pattern) in enumerate(KINDS):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            good = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if name == "ip" else False, "card": 14 <= len(d) <= 19 and luhn, "phone": 10 <= len(d) <= 15}[name]
+            if good:
+                out.append((m.start(), k, m.end(), m[0]))
+    return sorted(out)
+
+
+def plain_terms(texts, alpha=pii.ALPHA, support=pii.SUPPORT):
+    """By document the terms that disclose one of its entities, from whole documents and plain counts."""
+    spans = [plain_spans(t or "") for t in texts]
+    value = lambda k, m: f"{k}:{m.lower() if k == 0 else m if k == 1 else re.sub('[^0-9]', '', m)}"
+    entities = [{value(k, m) for _, k, _, m in s} for s in spans]
+    terms = [set(re.findall(r"[^\W\d_]{3,}", (t or "").lower())) for t in texts]
+    n, told = len(texts), {}
+    for e in set().union(*entities):
+        holders = [i for i in range(n) if e in entities[i]]
+        own = np.log2(n / len(holders))
+        for t in set().union(*[terms[i] for i in holders]):
+            both = [i for i in holders if t in terms[i]]
+            n_t = sum(t in x for x in terms)
+            if own > 0 and len({texts[i] for i in both}) >= support and np.log2(len(both) * n / (len(holders) * n_t)) >= alpha * own - 1e-12:
+                told.setdefault(e, set()).add(t)
+    return [set().union(*[told.get(e, set()) for e in es], set()) for es in entities]
+
+
 def test_pii_terms_and_redaction(spark, docs, rows, empty):
     rnd = random.Random(2)
-    texts = [f"{' '.join(words(rnd, 20))} zanzibar ann@x.example.org {' '.join(words(rnd, 5))}" for _ in range(5)]
+    # A name at the head of the letter, the address far below it.
+    texts = [f"zanzibar {' '.join(words(rnd, 200))} ann@x.example.org {' '.join(words(rnd, 5))}" for _ in range(5)]
     texts += [" ".join(words(rnd, 20)) for _ in range(20)] + ["call +1 (456) 555-2186 or 4111 1111 1111 1111 from 10.0.0.1, not 10.0.0.999", None, ""]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r for r in pii.digest(pii.find(df)).collect()}
@@ -171,6 +211,36 @@ def test_pii_terms_and_redaction(spark, docs, rows, empty):
     assert pii.find(docs).count() == len(rows) and pii.find(empty).count() == 0
 
 
+def test_pii_against_brute_force(spark):
+    rnd = random.Random(22)
+    parts = ["a@b.c", "x.y%z@q-r.st.", "@", "1.2.3.4", "300.1.1.1.", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (456) 555-2186", "+49 30 1234567890123", "+", "-", " ", "..", "5", "é", "😀", "\n", "name", "Tom", "tom"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(0, 25))) for _ in range(150)]
+    people = [(f"person{i}@mail.example.com", f"Nickname{chr(97 + i)}") for i in range(4)]
+    for i in range(80):
+        mail, name = people[i % 4]
+        held = [x for x in (mail if rnd.random() < 0.7 else "", name if rnd.random() < 0.7 else "", "Everyone") if x]
+        texts.append(" ".join([*held, *words(rnd, 6), *(f"common{rnd.choice('abcde')}" for _ in range(3))]))
+    texts += texts[150:170] + [None, ""]
+    df = spark.createDataFrame([(i if i % 9 else None, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got: dict = {}
+    for r in pii.digest(pii.find(df)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    disclosed = plain_terms(texts)
+    assert sum(map(bool, disclosed)) > 30
+    nulls = []
+    for i, text in enumerate(texts):
+        base = plain_spans(text or "")
+        taken = [(s, e) for s, _, e, _ in base]
+        told = [(m.start(), 4, m.end(), m[0]) for t in disclosed[i] for m in re.finditer(rf"(?<![^\W\d_]){t}(?![^\W\d_])", text or "", re.I) if not any(s < m.end() and m.start() < e for s, e in taken)]
+        line = lambda spans: ",".join(f"{(*[k for k, _ in KINDS], 'term')[k]}:{s}:{e}" for s, k, e, _ in sorted(spans))
+        want = (*[sum(k == n for _, k, _, _ in base) for n in range(4)], hashlib.sha256(line(base).encode()).hexdigest(), line([*base, *told]), len(told))
+        if i % 9:
+            assert [tuple(r)[1:] for r in got[i]] == [want], (text, got[i], want)
+        else:
+            nulls.append(want)
+    assert sorted(tuple(r)[1:] for r in got[None]) == sorted(nulls)
+
+
 def test_substrings(spark, docs, rows, empty):
     rnd = random.Random(4)
     passage = " ".join(words(rnd, 60))
