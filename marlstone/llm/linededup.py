@@ -6,13 +6,15 @@ hash (hash-and-displace: a pilot per small bucket of keys, so that all keys fall
 as there are keys) over arrays of 64-bit fingerprints, counts and largest doc_ids. Documents probe the arrays: pilot,
 slot, fingerprint; lines are never joined to documents.
 
-The arrays are broadcast in blocks of at most ``BLOCK_BYTES``, a size that is checked before; with more than one block
-the line hashes of all documents are probed block by block, and the hits are gathered per document before the texts
-are read a last time. A line that is not in the index is taken for one that is with probability 2^-64 a probe.
-
-A null or empty text is one empty line. Repeated rows of one doc_id are separate documents that share a largest doc_id:
-all of them keep their lines. A null doc_id is smaller than every other. An empty table gives an empty result; extra
-columns are ignored.
+Arrays of at most ``BLOCK_BYTES`` in all, a size that is checked before, are broadcast. Larger ones stay where they are:
+the line hashes of all documents are shuffled to them once, dealt by shard and, so that no hot line's probes meet in one
+task, by parts of about ``PART_PROBES`` within a shard, each with the shard's arrays; the hits are gathered per document
+before the texts are read a last time. A line that is not in the index is taken for one that is with probability 2^-64 a
+probe.
+
+A null or empty text is one empty line. A document is a doc_id: rows that share one count once for a line and share its
+largest doc_id, so all of them keep or lose it. A null doc_id is smaller than every other. An empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ BLANK = " \t\n\x0b\x0c\r"
 BLOCK_BYTES = 64 << 20
 SHARD_KEYS = 20_000
 PILOT_KEYS = 4
+PART_PROBES = 1_000_000
 NULL_ID = -(1 << 63)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -149,7 +152,7 @@ _SHARD_SCHEMA = "shard bigint, pilots binary, fingerprints binary, counts binary
 def build_index(docs: DataFrame, scratch: Scratch, min_chars: int = 40, min_docs: int = 5) -> tuple[int, DataFrame]:
     """The number of shards, and a written table with one row per shard."""
     hashed = docs.select("doc_id", "text").mapInArrow(lambda it: _hashes(it, min_chars), "hash binary, doc_id bigint")
-    counted = hashed.groupBy("hash").agg(F.count("*").alias("n"), F.max("doc_id").alias("largest"))
+    counted = hashed.distinct().groupBy("hash").agg(F.count("*").alias("n"), F.max("doc_id").alias("largest"))
     frequent = scratch.save(counted.where(F.col("n") >= min_docs))
     n_shards = max(1, -(-frequent.count() // SHARD_KEYS))
     top = F.conv(F.hex(F.substring("hash", 1, 4)), 16, 10).cast("long")
@@ -185,17 +188,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, block_b
     scratch = Scratch(spark, "linededup")
     n_shards, shards = build_index(docs, scratch, min_chars, min_docs)
     sizes = shards.select("shard", "bytes").orderBy("shard").collect()  # one small row per shard
-    blocks, room = [], 0
-    for r in sizes:
-        if not blocks or room + r["bytes"] > block_bytes:
-            blocks.append([])
-            room = 0
-        blocks[-1].append(r["shard"])
-        room += r["bytes"]
     rows = docs.select("doc_id", "text")
     schema = "doc_id bigint, text string, n_lines bigint, n_dropped bigint"
-    if len(blocks) > 1:
-        return _probe_in_blocks(rows, shards, n_shards, blocks, scratch, min_chars).select(*[f.split()[0] for f in schema.split(", ")])
+    if sum(r["bytes"] for r in sizes) > block_bytes:
+        return _probe_where_they_are(rows, shards, n_shards, scratch, min_chars).select(*[f.split()[0] for f in schema.split(", ")])
     held = spark.sparkContext.broadcast(shards.collect())  # at most block_bytes
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,31 +211,45 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, block_b
     return rows.mapInArrow(clean, schema)
 
 
-def _probe_in_blocks(rows: DataFrame, shards: DataFrame, n_shards: int, blocks: list[list[int]], scratch: Scratch, min_chars: int) -> DataFrame:
-    """For an index beyond one block: each block of shards is broadcast in turn and probed by all documents."""
-    spark = rows.sparkSession
+_PROBES = "shard bigint, hash binary, doc_id bigint, key string, line bigint"
+
+
+def _probes(n_shards: int, min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            digests, ids, keys, places = [], [], [], []
+            for doc_id, text, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for i, line in enumerate((text or "").split("\n")):
+                    if (k := line_key(line, min_chars)) is not None:
+                        digests.append(key_hash(k))
+                        ids.append(doc_id)
+                        keys.append(key)
+                        places.append(i)
+            high = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64).reshape(-1, 2)[:, 0]
+            columns = [pa.array(Index.shard_of(high, n_shards)), pa.array(digests, pa.binary()), pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "hash", "doc_id", "key", "line"])
+
+    return run
+
+
+def _probe_where_they_are(rows: DataFrame, shards: DataFrame, n_shards: int, scratch: Scratch, min_chars: int, part_probes: int = PART_PROBES) -> DataFrame:
+    """For an index beyond a broadcast: the probes are dealt to the shards and parts of them."""
     keyed = rows.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
-    found = []
-    for block in blocks:
-        held = spark.sparkContext.broadcast(shards.where(F.col("shard").isin(block)).collect())
-
-        def probe(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = _load(n_shards, held.value)
-            for batch in slices(batches):
-                ids, texts, keys = (batch.column(i).to_pylist() for i in range(3))
-                out = [
-                    (doc_id, key, i)
-                    for doc_id, key, (_, gone) in zip(ids, keys, _doc_hits(index, ids, [t or "" for t in texts], min_chars), strict=True)
-                    for i, g in enumerate(gone)
-                    if g
-                ]
-                a, b, c = zip(*out, strict=True) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.int64())], ["doc_id", "key", "line"])
-
-        found.append(scratch.save(keyed.mapInArrow(probe, "doc_id bigint, key string, line bigint")))
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
+    probes = scratch.save(keyed.mapInArrow(_probes(n_shards, min_chars), _PROBES))
+    parts = scratch.save(probes.groupBy("shard").agg(F.ceil(F.count("*") / part_probes).cast("int").alias("parts")))
+    dealt = probes.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "key", "line"), F.col("parts")).cast("int"))
+    arrays = shards.join(parts.select("shard", F.sequence(F.lit(0), F.col("parts") - 1).alias("every")), "shard").withColumn("part", F.explode("every"))
+
+    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
+        index = _load(n_shards, held.to_pylist()[:1])
+        asked = asked.combine_chunks()
+        counts, largest = index.probe(b"".join(asked.column("hash").to_pylist()))
+        own = asked.column("doc_id").fill_null(NULL_ID).to_numpy()
+        return asked.select(["doc_id", "key", "line"]).filter(pa.array((counts > 0) & (largest != own)))
+
+    hits = scratch.save(
+        dealt.groupBy("shard", "part").cogroup(arrays.groupBy("shard", "part")).applyInArrow(probe, "doc_id bigint, key string, line bigint")
+    )
     # The same row may stand in the table more than once; its hits are the same, so they are gathered as a set.
     gone = hits.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("line").alias("gone"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -266,15 +276,15 @@ def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def brute_force(docs: list[tuple[int | None, str | None]], min_chars: int = 40, min_docs: int = 5) -> dict:
-    """By doc_id: lines, dropped lines and digest of what stays; for tests."""
+def brute_force(docs: list[tuple[int | None, str | None]], min_chars: int = 40, min_docs: int = 5) -> dict[tuple, tuple]:
+    """By doc_id and text: lines, dropped lines and digest of what stays; for tests."""
     holders: dict[bytes, list] = {}
     for doc_id, text in docs:
         for k in {line_key(line, min_chars) for line in (text or "").split("\n")} - {None}:
-            holders.setdefault(k, []).append(doc_id)
+            holders.setdefault(k, set()).add(NULL_ID if doc_id is None else doc_id)
     out = {}
     for doc_id, text in docs:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if (k := line_key(x, min_chars)) is None or len(holders[k]) < min_docs or max(holders[k]) == doc_id]
-        out[doc_id] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+        kept = [x for x in lines if (k := line_key(x, min_chars)) is None or len(holders[k]) < min_docs or max(holders[k]) == (NULL_ID if doc_id is None else doc_id)]
+        out[doc_id, text] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     return out

@@ -6,9 +6,11 @@ through each chunk (a filter is a table of one weight per position and byte, so
 each filter's output is rectified and max-pooled over the chunk. The mean and the maximum of the chunks' pooled values
 go through a logistic layer to one probability.
 
-The network is fitted on the driver on at most ``FIT_ROWS`` labelled documents, of each at most ``FIT_CHUNKS`` chunks
-(both only bound the fit); scoring reads every byte. Labels of held-out ids never enter. Without both classes among
-the labels the score is the smoothed share of label 1.
+The network is fitted on the driver on whole texts of at most ``FIT_ROWS`` labelled documents; scoring reads every byte.
+Labels of held-out ids never enter. Without both classes among the labels the score is the smoothed share of label 1.
+
+The input is wider than plain bytes: that a byte repeats what stood shortly before is computed, not learned, since eight
+bytes are too short to see it.
 
 Null and empty texts are one chunk of padding; repeated rows get equal scores; a null doc_id is not held out; an empty
 table gives an empty result; extra columns are ignored.
@@ -31,7 +33,7 @@ WIDTH, STRIDE, FILTERS = 8, 4, 16
 REPEAT = 256  # added to a byte that repeats
 PAD = 2 * REPEAT
 LAGS = 24
-FIT_ROWS, FIT_CHUNKS = 3_000, 6
+FIT_ROWS = 2_000
 MODULUS, HELD_OUT = 3, 1
 BATCH = 256  # chunks convolved at a time
 
@@ -90,10 +92,7 @@ class ByteNet:
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
-        docs = []
-        for t in texts:
-            c = chunked(t)
-            docs.append(c if len(c) <= FIT_CHUNKS else c[np.sort(rng.choice(len(c), FIT_CHUNKS, replace=False))])
+        docs = [chunked(t) for t in texts]
         params = [self.conv, self.bias, self.out]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         balance = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))

@@ -27,7 +27,7 @@ WITH lines AS (
 ), keyed AS (
   SELECT doc_id, line, i, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
 ), often AS (
-  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -9223372036854775808)) >= 5
 )
 SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.key IS NOT NULL AND k.doc_id <> o.last) AS n_dropped,
   sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE o.key IS NULL OR k.doc_id = o.last), '')) AS kept_sha256

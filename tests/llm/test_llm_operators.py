@@ -463,29 +463,42 @@ def test_counterfactual_penalty():
     assert plain > 0.5 and fair < 0.5 * plain
 
 
+def lines_left(df, **options):
+    got = linededup.digest(linededup.dedup_lines(df, **options)).collect()
+    return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got), key=str)
+
+
+def plain_lines_left(data):
+    found = linededup.brute_force(data)
+    return sorted(((d, *found[d, t]) for d, t in data), key=str)
+
+
 def test_line_dedup(spark, docs, rows, empty):
     line = "This Very Line Stands in many Documents, says the x"
     data = [(i, f"own {i}\n  {line.upper() if i % 2 else line}\t\nend") for i in range(6)] + [(7, None), (8, ""), (9, line + " but not really"), (10, "x" * 40 + "\n" + "x" * 40)]
+    # Rows that share an id, or have none, are one document: this line is in four, the next in five.
+    twice, often = "A line of which several rows of one document know it.", "Another line of which several rows know, and a fifth."
+    data += [(20, twice + "\n1"), (20, twice + "\n2"), (20, twice + "\n2"), (21, twice), (22, twice), (None, twice + "\n" + often), (None, often), (20, often), (21, often), (22, often), (23, often)]
     df = spark.createDataFrame(data, "doc_id bigint, text string")
     for block in (linededup.BLOCK_BYTES, 1):
-        got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in linededup.digest(linededup.dedup_lines(df, block_bytes=block)).collect()}
-        assert got == linededup.brute_force(data)
-    assert sum(v[1] for v in got.values()) == 5
-    assert linededup.dedup_lines(docs).count() == len(rows) and linededup.dedup_lines(empty).count() == 0
+        assert lines_left(df, block_bytes=block) == plain_lines_left(data)
+    found = linededup.brute_force(data)
+    assert sum(v[1] for v in found.values()) == 5 + 5 and found[20, twice + "\n1"][1] == 0
+    assert lines_left(docs) == plain_lines_left([(r[0], r[1]) for r in rows]) and linededup.dedup_lines(empty).count() == 0
 
 
-def test_line_dedup_in_blocks(spark):
+def test_line_dedup_beyond_a_broadcast(spark):
     rnd = random.Random(12)
     lines = ["common line " + " ".join(words(rnd, 10)) for _ in range(60)]
-    data = [(i, "\n".join(rnd.sample(lines, 20) + [f"single {i} " + "y" * 40])) for i in range(40)]
+    data = [(i, "\n".join(rnd.sample(lines, 20) + [f"single {i} " + "y" * 40] + lines[:1])) for i in range(40)]
     df = spark.createDataFrame(data, "doc_id bigint, text string")
-    old = linededup.SHARD_KEYS
-    linededup.SHARD_KEYS = 10
+    old = linededup.SHARD_KEYS, linededup._probe_where_they_are.__defaults__
+    linededup.SHARD_KEYS, linededup._probe_where_they_are.__defaults__ = 10, (7,)
     try:
-        got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in linededup.digest(linededup.dedup_lines(df, block_bytes=1_000)).collect()}
+        got = lines_left(df, block_bytes=1_000)
     finally:
-        linededup.SHARD_KEYS = old
-    assert got == linededup.brute_force(data)
+        linededup.SHARD_KEYS, linededup._probe_where_they_are.__defaults__ = old
+    assert got == plain_lines_left(data)
 
 
 def test_minimal_perfect_hash():
