@@ -214,6 +214,11 @@ def parse_kinds(names: list[str]) -> list[str]:
 TEST_INTENT = r"(?i)(^|[^\p{Alnum}])tests?($|[^\p{Alnum}])"
 
 
+def mentions_tests(query: str) -> bool:
+    """asks_for_tests() of one query."""
+    return re.search(r"(^|[^0-9a-z])tests?($|[^0-9a-z])", query.lower()) is not None
+
+
 def asks_for_tests(query: Column) -> Column:
     """Whether the query has the word test or tests."""
     return query.rlike(TEST_INTENT)

@@ -15,6 +15,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from marlstone.operators import vector
 
 BITS = 3
 SEED = 42
@@ -50,8 +53,11 @@ class Quantizer:
         return LEVELS[level] / np.sqrt(self.dim) * length[:, None]
 
     def score(self, codes: list[bytes | None], query: np.ndarray) -> np.ndarray:
-        """Estimated inner products; 0 for missing or corrupt codes."""
-        out = np.zeros(len(codes))
+        return self.score_all(codes, np.asarray(query, dtype=np.float64)[None, :])[0]
+
+    def score_all(self, codes: list[bytes | None], queries: np.ndarray) -> np.ndarray:
+        """(queries, codes) of estimated inner products; 0 for missing or corrupt codes."""
+        out = np.zeros((len(queries), len(codes)))
         good = [i for i, c in enumerate(codes) if c is not None and len(c) == self.code_bytes]
         if not good:
             return out
@@ -61,10 +67,10 @@ class Quantizer:
         bits = np.unpackbits(raw[:, 8:split], axis=1)[:, : self.dim * BITS].reshape(len(good), self.dim, BITS)
         level = (bits << np.arange(BITS)).sum(axis=2)
         signs = np.unpackbits(raw[:, split:], axis=1)[:, : self.n_signs] * 2.0 - 1
-        q = self.rotation @ np.asarray(query, dtype=np.float64)
+        q = self.rotation @ np.asarray(queries, dtype=np.float64).T
         rough = self._decoded(level, head[:, 0].astype(np.float64)) @ q
-        rest = head[:, 1] * np.sqrt(np.pi / 2) / self.n_signs * (signs @ (self.projections @ q))
-        out[good] = rough + rest
+        rest = (head[:, 1] * np.sqrt(np.pi / 2) / self.n_signs)[:, None] * (signs @ (self.projections @ q))
+        out[:, good] = (rough + rest).T
         return out
 
 
@@ -100,12 +106,38 @@ def scan(table: DataFrame, query: list[float], k: int, id_column: str = "vec_id"
     return found.orderBy(F.desc("score"), "id").limit(k)
 
 
+def scan_batch(table: DataFrame, queries: DataFrame, k: int, dim: int, refine: int = 4, id_column: str = "vec_id", embedding: str = "embedding", code: str = "turbo_code") -> DataFrame:
+    """(query_id, vec_id, score, rank) of every query (query_id, embedding): refine * k by estimated cosine, of these k by exact cosine."""
+
+    def make_score(q: np.ndarray):
+        unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        quantizer = Quantizer(dim)
+
+        def score(batch: pa.RecordBatch) -> np.ndarray:
+            codes = batch.column(1).to_pylist()
+            lengths = np.array([struct.unpack_from("<f", c)[0] if c is not None and len(c) == quantizer.code_bytes else 0.0 for c in codes])
+            return quantizer.score_all(codes, unit) / np.maximum(lengths, 1e-300)
+
+        return score
+
+    near = vector.batched(table.select(F.col(id_column).cast("long"), code), queries, refine * k, make_score).select("query_id", "vec_id")
+    exact = (
+        near.join(table.select(F.col(id_column).cast("long").alias("vec_id"), F.col(embedding).alias("m_row")), "vec_id")
+        .join(queries.select("query_id", F.col("embedding").alias("m_query")), "query_id")
+        .select("query_id", "vec_id", vector.cosine(F.col("m_row"), F.col("m_query")).alias("score"))
+    )
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def boosts(candidates: DataFrame, query: list[float], id_column: str = "id", code: str = "turbo_code") -> DataFrame:
     """(id, boost) of candidates; 0 where the code is missing or corrupt."""
     q = np.array(query, dtype=np.float64)
 
     @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(Quantizer(len(q)).score(list(s), q))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        quantizer = Quantizer(len(q))
+        for s in parts:
+            yield pd.Series(quantizer.score(list(s), q))
 
     return candidates.select(F.col(id_column).alias("id"), run(F.col(code)).alias("boost"))

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.operators.store import Table
+
 #: Scores are rounded so that ties do not depend on the order of additions.
 DIGITS = 6
 
@@ -51,63 +53,98 @@ def knn(table: DataFrame, query: list[float], k: int, scope: Column | None = Non
     return scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
-def _topk_blocks(queries: np.ndarray, ids: np.ndarray, k: int):
-    unit = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-300)
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best columns of each row, by score and id."""
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _topk_blocks(ids: np.ndarray, score, k: int):
+    """The k best rows of each query within a task. score gives (queries, rows) from a batch, -inf for rows that do not count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_score, best_id = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=np.int64)
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if not len(flat):
-                continue
-            rows = flat.reshape(batch.num_rows, -1)
-            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            score = np.concatenate([best_score, np.round(unit @ rows.T, DIGITS)], axis=1)
-            rid = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
-            order = np.lexsort((rid, -score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(rid, order, 1)
-        n = best_id.shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, n)), pa.array(best_id.ravel()), pa.array(best_score.ravel())], ["query_id", "vec_id", "score"]
-        )
+            if batch.num_rows:
+                found = np.concatenate([best_score, np.round(score(batch), DIGITS)], axis=1)
+                rid = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
+                best_score, best_id = _best(found, rid, k)
+        query = np.repeat(ids, best_id.shape[1])
+        real = np.isfinite(best_score.ravel())
+        columns = [pa.array(x[real]) for x in (query, best_id.ravel(), best_score.ravel())]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
     return run
 
 
-def knn_batch(table: DataFrame, queries: DataFrame, k: int, block: int = 4096, id_column: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, score, rank) of the k nearest rows of every query (query_id, embedding).
+def batched(rows: DataFrame, queries: DataFrame, k: int, make_score, block: int = 4096) -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k best rows of every query (query_id, embedding).
 
-    Queries are taken in blocks of bounded size; each task multiplies a block with its rows and keeps k of each query,
-    so only tasks * queries * k rows are shuffled. Vectors must be of one width.
+    Queries are taken in blocks of bounded size; each task scores its rows for a block and keeps k of each query, so
+    only tasks * queries * k rows are shuffled. Vectors must be of one width; make_score turns a block's vectors into a
+    function of a batch of rows, whose first column is the id.
     """
     out = None
     n = max(1, -(-queries.count() // block))
     for i in range(n):
         part = queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
-        rows = part.select("query_id", "embedding").collect()
-        if not rows:
+        held = part.select("query_id", "embedding").collect()
+        if not held:
             continue
-        q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        near = table.select(F.col(id_column).cast("long"), embedding).mapInArrow(_topk_blocks(q, ids, k), "query_id bigint, vec_id bigint, score double")
+        q = np.array([r["embedding"] for r in held], dtype=np.float64)
+        ids = np.array([r["query_id"] for r in held], dtype=np.int64)
+        near = rows.mapInArrow(_topk_blocks(ids, make_score(q), k), "query_id bigint, vec_id bigint, score double")
         out = near if out is None else out.unionByName(near)
     if out is None:
-        return table.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")
+        return rows.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _cosines(queries: np.ndarray):
+    unit = _unit(queries)
+    return lambda batch: unit @ _unit(_matrix(batch.column(1), batch.num_rows)).T
+
+
+def knn_batch(table: DataFrame, queries: DataFrame, k: int, block: int = 4096, id_column: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, score, rank) of the k nearest rows of every query, by exact cosine."""
+    return batched(table.select(F.col(id_column).cast("long"), embedding), queries, k, _cosines, block)
+
+
+def _sampled(table: DataFrame, rows: int, seed: int, id_column: str, embedding: str) -> np.ndarray:
+    """Unit vectors of a bounded sample, the same on every run."""
+    by = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_column).cast("string")))
+    picked = table.select(id_column, embedding).orderBy(by, id_column).limit(rows).collect()
+    return _unit(np.array([r[1] for r in picked], dtype=np.float64)) if picked else np.empty((0, 0))
+
+
+def _neighbours(sample: np.ndarray, k: int, n_queries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the sample's vectors, and the numbers of the k nearest in the sample of each."""
+    queries = sample[:n_queries]
+    scores = queries @ sample.T
+    return queries, np.argsort(-scores, axis=1, kind="stable")[:, :k]
+
+
 class IvfIndex:
-    """Cells around seeded centroids. Centroids are fitted on a bounded sample, every row is assigned to its nearest cell."""
+    """Cells around seeded centroids. Centroids are fitted on a bounded sample, every row is assigned to its nearest cell.
+
+    ``nprobes`` is the least number of cells by which ``recall`` of the k nearest rows are found within the sample.
+    """
 
-    def __init__(self, centroids: np.ndarray, assigned: DataFrame):
-        self.centroids, self.assigned = centroids, assigned
+    def __init__(self, centroids: np.ndarray, assigned: DataFrame, nprobes: int):
+        self.centroids, self.assigned, self.nprobes = centroids, assigned, nprobes
 
     @staticmethod
-    def build(table: DataFrame, n_cells: int, sample_rows: int = 20_000, rounds: int = 10, seed: int = 42, id_column: str = "vec_id", embedding: str = "embedding") -> IvfIndex:
-        picked = table.select(id_column, embedding).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_column).cast("string"))), id_column).limit(sample_rows).collect()
-        x = np.array([r[1] for r in picked], dtype=np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    def build(table: DataFrame, n_cells: int, sample_rows: int = 20_000, rounds: int = 10, seed: int = 42, id_column: str = "vec_id", embedding: str = "embedding", recall: float = 0.97, k: int = 10, tune_queries: int = 500) -> IvfIndex:
+        x = _sampled(table, sample_rows, seed, id_column, embedding)
         rng = np.random.default_rng(seed)
         centroids = x[rng.choice(len(x), min(n_cells, len(x)), replace=False)]
         for _ in range(rounds):
@@ -116,54 +153,130 @@ class IvfIndex:
                 members = x[nearest == c]
                 if len(members):
                     centroids[c] = members.mean(axis=0)
-            centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-300)
+            centroids = _unit(centroids) if len(x) else centroids
         fixed = centroids.copy()
+        nprobes = max(1, len(fixed))
+        if len(x):
+            queries, near = _neighbours(x, k, tune_queries)
+            order = np.argsort(np.argsort(-(queries @ fixed.T), axis=1, kind="stable"), axis=1)  # by query the place of each cell
+            place = np.take_along_axis(order, (x @ fixed.T).argmax(axis=1)[near], axis=1)
+            found = np.cumsum(np.bincount(place.ravel(), minlength=len(fixed))) / place.size
+            nprobes = int(np.argmax(found >= recall)) + 1
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                cell = (rows @ fixed.T).argmax(axis=1).astype(np.int32)
+                cell = (_matrix(batch.column(1), batch.num_rows) @ fixed.T).argmax(axis=1).astype(np.int32) if batch.num_rows else np.empty(0, np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
         rows = table.select(F.col(id_column).alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"))
-        return IvfIndex(fixed, rows.mapInArrow(assign, "vec_id bigint, embedding array<float>, cell int"))
+        schema = f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, embedding array<float>, cell int"
+        return IvfIndex(fixed, rows.mapInArrow(assign, schema), nprobes)
+
+    def write(self, path: str) -> IvfIndex:
+        """The stored index: rows in folders by cell, so that a probe reads its cells alone, and the centroids."""
+        spark = self.assigned.sparkSession
+        cells, centroids = IvfIndex._tables(spark, path)
+        cells.overwrite(self.assigned.repartition("cell"))
+        rows = [(i, self.nprobes, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
+        centroids.overwrite(spark.createDataFrame(rows, "cell int, nprobes int, centroid array<double>"))
+        return IvfIndex.read(spark, path)
 
-    def write(self, path: str) -> None:
-        """Partitioned by cell, so that a probe reads its cells alone."""
-        self.assigned.repartition("cell").write.partitionBy("cell").mode("overwrite").parquet(path)
+    @staticmethod
+    def _tables(spark: SparkSession, path: str) -> tuple[Table, Table]:
+        return Table(spark, f"{path.rstrip('/')}/cells", partition="cell"), Table(spark, f"{path.rstrip('/')}/centroids")
 
-    def search(self, query: list[float], k: int, nprobes: int, refine: int = 2, stored: DataFrame | None = None) -> DataFrame:
-        """Top k among the rows of the nprobes nearest cells, scored exactly."""
-        q = np.array(query, dtype=np.float64)
-        cells = np.argsort(-(self.centroids @ q), kind="stable")[:nprobes].tolist()
-        rows = (self.assigned if stored is None else stored).where(F.col("cell").isin(cells))
-        return knn(rows, query, max(k, k * refine)).limit(k)
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> IvfIndex | None:
+        cells, centroids = IvfIndex._tables(spark, path)
+        if not (cells.exists() and centroids.exists()):
+            return None
+        rows = centroids.read().orderBy("cell").collect()  # one per cell
+        return IvfIndex(np.array([r["centroid"] for r in rows]), cells.read(), rows[0]["nprobes"])
 
+    @staticmethod
+    def drop(spark: SparkSession, path: str) -> None:
+        for t in IvfIndex._tables(spark, path):
+            t.drop()
 
-def projection_codes(table: DataFrame, bits: int = 16, tables: int = 8, seed: int = 42, embedding: str = "embedding") -> DataFrame:
-    """Adds codes: for each of ``tables`` hashes the signs of ``bits`` random projections."""
+    def probed(self, queries: np.ndarray, nprobes: int) -> np.ndarray:
+        """(queries, nprobes): the nearest cells of each."""
+        return np.argsort(-(_unit(queries) @ self.centroids.T), axis=1, kind="stable")[:, :nprobes]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
-        for batch in batches:
-            at = batch.schema.get_field_index(embedding)
-            rows = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((tables, bits, rows.shape[1]))
-            signs = np.einsum("tbd,nd->ntb", planes, rows) > 0
-            codes = (signs * (1 << np.arange(bits))).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "codes"])
+    def search(self, query: list[float], k: int, nprobes: int | None = None, among: DataFrame | None = None) -> DataFrame:
+        """Top k among the rows of the nearest cells (of those in ``among``, by vec_id), scored exactly."""
+        cells = self.probed(np.array([query], dtype=np.float64), nprobes or self.nprobes)[0].tolist()
+        rows = self.assigned.where(F.col("cell").isin(cells))
+        return knn(rows if among is None else rows.join(among.select("vec_id"), "vec_id", "left_semi"), query, k)
 
-    from pyspark.sql import types as T
+    def search_batch(self, queries: DataFrame, k: int, nprobes: int | None = None, block: int = 4096) -> DataFrame:
+        """(query_id, vec_id, score, rank) of the k nearest rows of every query within its cells, scored exactly."""
 
-    schema = T.StructType([*table.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])
-    return table.mapInArrow(run, schema)
+        def make_score(q: np.ndarray):
+            unit, near = _unit(q), self.probed(q, nprobes or self.nprobes)
+            wanted = np.zeros((len(q), len(self.centroids)), dtype=bool)
+            np.put_along_axis(wanted, near, True, axis=1)
 
+            def score(batch: pa.RecordBatch) -> np.ndarray:
+                cell = batch.column(2).to_numpy()
+                out = np.full((len(q), batch.num_rows), -np.inf)
+                rows = _unit(_matrix(batch.column(1), batch.num_rows))
+                for c in np.unique(cell):
+                    at = np.ix_(np.flatnonzero(wanted[:, c]), np.flatnonzero(cell == c))
+                    out[at] = unit[at[0].ravel()] @ rows[at[1].ravel()].T
+                return out
+
+            return score
+
+        return batched(self.assigned.select(F.col("vec_id").cast("long"), "embedding", F.col("cell").cast("int")), queries, k, make_score, block)
+
+
+def _code(rows: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    return ((rows @ planes > 0) << np.arange(planes.shape[1])).sum(axis=1)
+
+
+class ProjectionIndex:
+    """Random-projection hashing: of ``tables`` hashes, each of the signs of ``bits`` projections, a row must share one with the query.
+
+    Without ``tables`` their number is set on a bounded sample: the least by which ``recall`` of the k nearest are found.
+    """
 
-def lsh_search(coded: DataFrame, query_codes: list[int], query: list[float], k: int) -> DataFrame:
-    """Exact top k among the rows that share a code with the query in any table."""
-    same = F.exists(F.zip_with("codes", F.array(*[F.lit(c).cast("long") for c in query_codes]), lambda a, b: a == b), lambda x: x)
-    return knn(coded.where(same), query, k)
+    def __init__(self, table: DataFrame, bits: int = 8, tables: int | None = None, seed: int = 42, id_column: str = "vec_id", embedding: str = "embedding", recall: float = 0.97, k: int = 10, sample_rows: int = 20_000, most_tables: int = 1024):
+        self.rows = table.select(F.col(id_column).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
+        self.bits, self.seed = bits, seed
+        x = _sampled(table, sample_rows, seed, id_column, embedding)
+        self.tables = tables or 1
+        if tables is None and len(x):
+            queries, near = _neighbours(x, k, 200)
+            hit = np.zeros(near.shape, dtype=bool)
+            for t in range(most_tables):
+                planes = self._planes(t, x.shape[1])
+                own, others = _code(queries, planes), _code(x, planes)
+                hit |= others[near] == own[:, None]
+                self.tables = t + 1
+                if hit.mean() >= recall:
+                    break
+
+    def _planes(self, table: int, width: int) -> np.ndarray:
+        return np.random.default_rng((self.seed, table)).standard_normal((width, self.bits))
+
+    def search_batch(self, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+        """(query_id, vec_id, score, rank) of the k nearest rows of every query among those that share a code with it."""
+
+        def make_score(q: np.ndarray):
+            unit = _unit(q)
+            planes = [self._planes(t, q.shape[1]) for t in range(self.tables)]
+            codes = [_code(q, p) for p in planes]
+
+            def score(batch: pa.RecordBatch) -> np.ndarray:
+                rows = _unit(_matrix(batch.column(1), batch.num_rows))
+                same = np.zeros((len(q), len(rows)), dtype=bool)
+                for own, p in zip(codes, planes, strict=True):
+                    same |= own[:, None] == _code(rows, p)[None, :]
+                return np.where(same, unit @ rows.T, -np.inf)
+
+            return score
+
+        return batched(self.rows, queries, k, make_score, block)
 
 
 # Sizes at which the search method changes.

@@ -67,29 +67,35 @@ def knn_batch_topk(spark, d):
     return vector.knn_batch(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 3)
 
 
-@query(f"SELECT e.vec_id, {_COS} AS score FROM embeddings e, {_Q0} q ORDER BY score DESC, vec_id LIMIT 10")
+def _queries(spark, d):
+    """The query set of the searches: every row whose id is divisible by 20."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+_BATCH_10 = f"""SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10"""
+
+
+@query(_BATCH_10)
 def ivf_probe_all(spark, d):
-    return vector.IvfIndex.build(table(spark, d, "embeddings"), 16).search(query_vector(spark, d), 10, 16)
+    return vector.IvfIndex.build(table(spark, d, "embeddings"), 16).search_batch(_queries(spark, d), 10, 16)
 
 
 @query()
 def ivf_probe_some(spark, d):
     e = table(spark, d, "embeddings")
-    p = vector.choose(e.count(), 64, 8 << 30)
-    return vector.IvfIndex.build(e, p.num_partitions).search(query_vector(spark, d), 10, p.nprobes, p.refine_factor)
+    return vector.IvfIndex.build(e, vector.choose(e.count(), 64, 8 << 30).num_partitions).search_batch(_queries(spark, d), 10)
 
 
 @query()
 def lsh_ann(spark, d):
-    coded = vector.projection_codes(table(spark, d, "embeddings"), bits=6, tables=12)
-    q = query_vector(spark, d)
-    codes = coded.where("vec_id = 0").first()["codes"]
-    return vector.lsh_search(coded, codes, q, 10)
+    return vector.ProjectionIndex(table(spark, d, "embeddings")).search_batch(_queries(spark, d), 10)
 
 
 @query()
 def quant_scan(spark, d):
-    return quantize.scan(quantize.encode(table(spark, d, "embeddings"), 64), query_vector(spark, d), 10)
+    return quantize.scan_batch(quantize.encode(table(spark, d, "embeddings"), 64), _queries(spark, d), 10, 64)
 
 
 @query(

@@ -15,22 +15,27 @@ from marlstone.operators.store import Table
 from marlstone.sources import extract, tree
 
 INDEX_VERSION = 2
-PHASES = ("scan", "diff", "parse", "chunk", "embed", "write", "finish")
+PHASES = ("scan", "diff", "parse", "chunk", "embed", "write", "index", "finish")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, data_dir: str, model=None, dim: int = 64, max_tokens: int = 512):
-        self.spark, self.base, self.dim, self.max_tokens = spark, data_dir.rstrip("/"), dim, max_tokens
-        self.model = model or embed.HashingModel(dim)
+    def __init__(self, spark: SparkSession, data_dir: str, model=None, dim: int = 64, max_tokens: int = 512, model_id: str = "", batch_files: int = 10_000):
+        self.spark, self.base, self.dim, self.max_tokens, self.batch_files = spark, data_dir.rstrip("/"), dim, max_tokens, batch_files
+        self.model, self.model_id = model or embed.HashingModel(dim), model_id
         self.projects = Table(spark, f"{self.base}/projects")
 
     def _table(self, root: str, name: str) -> Table:
         return Table(self.spark, f"{self.base}/{hashlib.sha256(root.encode()).hexdigest()[:16]}/{name}")
 
-    def index(self, root: str, refresh: bool = False, progress: Callable[[str], None] = lambda _: None) -> dict:
+    def _text_index(self, root: str) -> lexical.TextIndex:
+        return lexical.TextIndex(self.spark, self._table(root, "text").path, ("content", "symbol_qualified"))
+
+    def index(self, root: str, refresh: bool = False, progress: Callable[[str], None] = lambda _: None, control: Callable[[], str] = lambda: "run") -> dict:
         """Brings a project's tables up to date and returns the numbers of changed paths and passages.
 
-        Files are recorded last and only if all their passages are in the table, so a broken run is resumed by the next.
+        Changed files are taken in batches of about batch_files; a batch's files are recorded when its passages are in
+        the table, so a run that broke off or was cancelled is resumed by the next. Before each batch ``control`` says
+        "run", "pause" (asked again every second) or "cancel"; a cancelled run says so in "cancelled".
         """
         root = root.rstrip("/")
         chunks_t, files_t, symbols_t, edges_t = (self._table(root, n) for n in ("chunks", "files", "symbols", "edges"))
@@ -44,33 +49,72 @@ class Engine:
         new = snapshot.select("file_path", "digest")
         found = changes.detect(files_t.read() if files_t.exists() and not force else new.limit(0), new).cache()
         counts = {c: 0 for c in ("added", "modified", "removed", "unchanged")} | {r["change"]: r["count"] for r in found.groupBy("change").count().collect()}
-        written = 0
+        written, cancelled = 0, False
         if force or counts["added"] + counts["modified"] + counts["removed"]:
             progress("parse")
             symbols, edges, imports = (t.cache() for t in extract.extract_all(snapshot.where("kind = 'code'")))
             resolved = graph.resolve(edges, symbols, graph.aliases(symbols, root.rsplit("/", 1)[-1]), imports, root.rsplit("/", 1)[-1])
             symbols_t.overwrite(symbols)
             edges_t.overwrite(resolved)
-            progress("chunk")
-            todo = snapshot.join(changes.to_index(found, force).select("file_path"), "file_path", "left_semi")
-            chunks = self._chunks(todo, symbols_t.read(), edges_t.read())
-            progress("embed")
-            chunks = quantize.encode(embed.embed(chunks, self.model), self.dim).withColumn("indexed_at_ns", F.lit(time.time_ns()))
-            progress("write")
+            todo = snapshot.join(changes.to_index(found, force).select("file_path"), "file_path", "left_semi").cache()
+            recorded = ["file_path", "digest", "mtime_ns", "size_bytes", "language"]
             if force:
-                chunks_t.overwrite(chunks)
-            else:
+                for t in (chunks_t, files_t, self._text_index(root)):
+                    t.drop()
+                vector.IvfIndex.drop(self.spark, self._table(root, "vectors").path)
+            elif counts["removed"]:
+                gone = found.where("change = 'removed'")
+                chunks_t.delete(gone, "file_path")
+                files_t.delete(gone, "file_path")
+            n = max(1, -(-todo.count() // self.batch_files))
+            for i in range(n):
+                while (said := control()) == "pause":
+                    time.sleep(1)
+                if said == "cancel":
+                    cancelled = True
+                    break
+                batch = todo.where(F.pmod(F.xxhash64("file_path"), F.lit(n)) == i)
+                progress("chunk")
+                chunks = self._chunks(batch, symbols_t.read(), edges_t.read())
+                progress("embed")
+                passage = embed.prefixes(self.model_id)[1]
+                chunks = chunks.withColumn("m_text", F.concat(F.lit(passage), "content"))
+                chunks = quantize.encode(embed.embed(chunks, self.model, "m_text").drop("m_text"), self.dim).withColumn("indexed_at_ns", F.lit(time.time_ns()))
+                progress("write")
                 if chunks_t.exists():
-                    chunks_t.delete(changes.to_delete(found), "file_path")
+                    chunks_t.delete(batch, "file_path")
                 chunks_t.append(chunks)
-            written = chunks_t.read().join(todo.select("file_path"), "file_path", "left_semi").count()
-            files_t.overwrite(snapshot.select("file_path", "digest", "mtime_ns", "size_bytes", "language"))
+                files_t.upsert(batch.select(*recorded), "file_path")
+            if chunks_t.exists():
+                done = todo.join(files_t.read().select("file_path", "digest"), ["file_path", "digest"], "left_semi") if files_t.exists() else todo.limit(0)
+                written = chunks_t.read().join(done.select("file_path"), "file_path", "left_semi").count()
+                progress("index")
+                self._build_indexes(root, chunks_t.read())
+            todo.unpersist()
         progress("finish")
         total = chunks_t.read().count() if chunks_t.exists() else 0
         self._record(root, snapshot, total, project)
         for df in (snapshot, found):
             df.unpersist()
-        return counts | {"chunks_new": written, "chunks_total": total}
+        return counts | {"chunks_new": written, "chunks_total": total, "cancelled": cancelled}
+
+    def _build_indexes(self, root: str, chunks: DataFrame) -> None:
+        """The postings, and the vectors by cell where the chosen method has cells."""
+        self._text_index(root).build(chunks, "id")
+        p = vector.choose(chunks.count(), self.dim, 8 << 30)
+        path = self._table(root, "vectors").path
+        if p.method == "flat":
+            vector.IvfIndex.drop(self.spark, path)
+        else:
+            vector.IvfIndex.build(chunks, p.num_partitions, id_column="id").write(path)
+
+    def _nearest(self, root: str, project: dict, chunks: DataFrame, scope, query: list[float], k: int) -> DataFrame:
+        """(id, score) by the project's method: all vectors, or those of the nearest cells."""
+        index = None if project["search_method"] == "flat" else vector.IvfIndex.read(self.spark, self._table(root, "vectors").path)
+        if index is None:
+            return vector.knn(chunks, query, k, scope, "id").select("id", "score")
+        among = chunks if scope is None else chunks.where(scope)
+        return index.search(query, k, among=among.select(F.col("id").alias("vec_id"))).select(F.col("vec_id").alias("id"), "score")
 
     def _chunks(self, files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
         columns = ["file_path", "sym_id", "symbol_qualified", "symbol_kind", "start_line", "end_line", "content"]
@@ -79,7 +123,7 @@ class Engine:
         text = chunking.text_chunks(files.where("kind = 'text'")).select(*columns)
         none = [F.lit(chunking.NO_SYMBOL).alias("sym_id"), F.lit("document").alias("symbol_kind")]
         rows = chunking.pack_rows(files.where("kind IN ('tsv', 'psv')"), budget).select("file_path", none[0], "symbol_qualified", none[1], "start_line", "end_line", "content")
-        pdf = files.where("kind = 'pdf'").select(F.col("file_path").alias("doc"), "content", F.array().cast("array<string>").alias("headings"))
+        pdf = files.where("kind = 'pdf'").select(F.col("file_path").alias("doc"), "content", "headings")
         pages = chunking.pack_pages(pdf, budget).select(F.col("doc").alias("file_path"), none[0], "symbol_qualified", none[1], "start_line", "end_line", "content")
         whole = code.unionByName(text).unionByName(rows).unionByName(pages).where(F.trim("content") != "")
         whole = whole.withColumn("sub_chunk_idx", F.lit(0).cast("long")).withColumn("total_sub_chunks", F.lit(1).cast("long")).withColumn("chunk_strategy", F.lit(0))
@@ -107,21 +151,27 @@ class Engine:
         schema = "root_path string, languages array<string>, model_dim int, total_chunks bigint, total_files bigint, last_indexed_ns bigint, created_at_ns bigint, index_version int, search_method string"
         self.projects.upsert(self.spark.createDataFrame([row], schema), "root_path")
 
-    def search(self, root: str, text: str, limit: int = 5, languages: list[str] | None = None, path_glob: str | None = None, include_tests: bool = False, exhaustive: bool = False) -> DataFrame:
-        """Ranked passages: id, score and what is shown of each; empty results are tried again exhaustively."""
+    def search(self, root: str, text: str, limit: int = 5, languages: list[str] | None = None, path_glob: str | None = None, include_tests: bool = False, exhaustive: bool = False, mode: str = "query") -> DataFrame:
+        """Ranked passages: id, score and what is shown of each; empty results are tried again exhaustively.
+
+        mode is "query" for a question, "passage" for a text like those of the index; models embed these differently.
+        """
         root = root.rstrip("/")
         project = self._project(root)
         if project is None:
             raise LookupError(f"no such project: {root}")
         if project["index_version"] != INDEX_VERSION:
             raise LookupError(f"the index of {root} is of version {project['index_version']}; index it again")
-        include_tests = include_tests or bool(set(text.lower().split()) & {"test", "tests"})
+        if mode not in ("query", "passage"):
+            raise ValueError(f"no such mode: {mode}")
+        include_tests = include_tests or classify.mentions_tests(text)
         chunks = self._table(root, "chunks").read()
         scope = classify.scope(languages, path_glob, include_tests)
         fetch = vector.over_fetch(limit, project["total_chunks"], exhaustive)
-        query = self.model([embed.prefixes("")[0] + text])[0].tolist()
-        vec = vector.knn(chunks, query, fetch, scope, "id").select("id", "score")
-        lex = lexical.bm25(chunks, text, fetch, "id", ("content", "symbol_qualified"), scope)
+        query = self.model([embed.prefixes(self.model_id)[mode == "passage"] + text])[0].tolist()
+        vec = self._nearest(root, project, chunks, scope, query, fetch)
+        index = self._text_index(root)
+        lex = index.search(text, fetch, chunks if scope is None else chunks.where(scope)) if index.exists() else lexical.bm25(chunks, text, fetch, "id", index.fields, scope)
         fused = rank.rrf([rank.ranked(vec), rank.ranked(lex)], fetch)
         shown = chunks.select("id", "file_path", "file_type", "symbol_qualified", "symbol_kind", "sym_id", "parent_sym_id", "start_line", "end_line", "content", "appendix_sym_ids", "turbo_code")
         hits = fused.join(shown, "id")
@@ -130,7 +180,7 @@ class Engine:
             hits = rank.diversify(rank.dedup_symbols(hits))
         page = rank.tier_sort(hits.drop("turbo_code"), limit)
         if not exhaustive and page.isEmpty():
-            return self.search(root, text, limit, languages, path_glob, include_tests, exhaustive=True)
+            return self.search(root, text, limit, languages, path_glob, include_tests, exhaustive=True, mode=mode)
         return page
 
     def search_text(self, root: str, text: str, limit: int = 5, **options) -> str:
@@ -207,7 +257,7 @@ class Engine:
     def remove(self, root: str) -> None:
         """Forgets a project; an unknown one is no error."""
         root = root.rstrip("/")
-        for name in ("chunks", "files", "symbols", "edges"):
+        for name in ("chunks", "files", "symbols", "edges", "text", "vectors"):
             self._table(root, name).drop()
         if self.projects.exists():
             self.projects.delete(self.spark.createDataFrame([(root,)], "root_path string"), "root_path")

@@ -81,7 +81,7 @@ def list_files(spark: SparkSession, root: str) -> list[tuple[str, str, int, int]
 
 
 def walk(spark: SparkSession, root: str, keep_manifests: bool = False) -> DataFrame:
-    """The files that an index holds."""
+    """The files that an index holds; headings are those of a PDF file's pages."""
     listed = list_files(spark, root)
     rules = IgnoreRules({rel: _read(uri).decode("utf-8", "replace") for rel, uri, _, _ in listed if rel.rsplit("/", 1)[-1] == ".gitignore"})
     tops = {rel.split("/", 1)[0] for rel, *_ in listed if "/" in rel}
@@ -105,14 +105,15 @@ def walk(spark: SparkSession, root: str, keep_manifests: bool = False) -> DataFr
             for r in pdf.itertuples():
                 raw = _read(r.uri)
                 try:
-                    text = "\n\f\n".join(p[0] for p in pages_text(raw)) if r.kind == "pdf" else raw.decode("utf-8")
+                    pages = pages_text(raw) if r.kind == "pdf" else []
+                    text = "\n\f\n".join(p[0] for p in pages) if r.kind == "pdf" else raw.decode("utf-8")
                 except (UnicodeDecodeError, ValueError):
                     continue
-                out.append((r.file_path, r.language, r.kind, r.file_type, r.size_bytes, r.mtime_ns, hashlib.sha256(raw).hexdigest(), text))
-            yield pd.DataFrame(out, columns=["file_path", "language", "kind", "file_type", "size_bytes", "mtime_ns", "digest", "content"])
+                out.append((r.file_path, r.language, r.kind, r.file_type, r.size_bytes, r.mtime_ns, hashlib.sha256(raw).hexdigest(), text, [p[1] for p in pages]))
+            yield pd.DataFrame(out, columns=["file_path", "language", "kind", "file_type", "size_bytes", "mtime_ns", "digest", "content", "headings"])
 
     n = max(1, min(len(rows), spark.sparkContext.defaultParallelism * 4))
-    return kept.repartition(n).mapInPandas(load, "file_path string, language string, kind string, file_type int, size_bytes bigint, mtime_ns bigint, digest string, content string")
+    return kept.repartition(n).mapInPandas(load, "file_path string, language string, kind string, file_type int, size_bytes bigint, mtime_ns bigint, digest string, content string, headings array<string>")
 
 
 def preamble(manifests: DataFrame, cap: int = MANIFEST_CAP) -> DataFrame:

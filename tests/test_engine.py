@@ -44,6 +44,20 @@ def test_walk(spark, project):
     assert [r.file_path for r in tree.preamble(tree.walk(spark, str(project), keep_manifests=True)).collect()] == ["Cargo.toml"]
 
 
+def test_index_in_batches_with_cancel_and_resume(spark, project, tmp_path):
+    engine = Engine(spark, str(tmp_path / "data"), model_id="e5-base", batch_files=3)
+    root, said = str(project), iter(["run", "pause", "cancel"])
+    first = engine.index(root, control=lambda: next(said))
+    done = engine._table(root, "files").read().count()
+    assert first["cancelled"] and 0 < done < 7
+    again = engine.index(root)
+    assert again["added"] == 7 - done and again["unchanged"] == done and not again["cancelled"]
+    assert "add" in [r.symbol_qualified for r in engine.search(root, "add numbers", mode="passage").collect()]
+    assert [r.symbol_qualified for r in engine._table(root, "chunks").read().where("language = 'pdf'").collect()] == ["Algorithm C · p.1-1"]
+    with pytest.raises(ValueError):
+        engine.search(root, "x", mode="other")
+
+
 def test_index_search_and_lookup(spark, project, tmp_path):
     engine = Engine(spark, str(tmp_path / "data"))
     root = str(project)

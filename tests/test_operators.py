@@ -1,5 +1,6 @@
 """Operators against small literal cases."""
 
+import os
 import re
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import changes, chunking, classify, embed, graph, lexical, quantize, rank, splitter, store, vector
+from marlstone.plans import catalog
 
 
 def rows(df):
@@ -225,19 +227,75 @@ def test_quantizer():
     assert q.score([b"bad", None], x[7]).tolist() == [0.0, 0.0]
 
 
-def test_ann_recall(spark):
+def test_ann_recall(spark, tmp_path):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((12, 16))
     x = [(i, (centres[i % 12] + 0.3 * rng.standard_normal(16)).tolist()) for i in range(600)]
     df = spark.createDataFrame(x, "vec_id long, embedding array<float>").cache()
-    index = vector.IvfIndex.build(df, 12)
-    stored = index.assigned.cache()
+    index = vector.IvfIndex.build(df, 12).write(str(tmp_path / "ivf"))
+    assert index.nprobes <= 4
     hits = total = 0
     for i in range(0, 600, 60):
         exact = {r.vec_id for r in vector.knn(df, x[i][1], 10).collect()}
-        hits += len(exact & {r.vec_id for r in index.search(x[i][1], 10, 4, stored=stored).collect()})
+        hits += len(exact & {r.vec_id for r in index.search(x[i][1], 10).collect()})
         total += 10
     assert hits / total >= 0.9
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", index.search(x[0][1], 10)._jdf.queryExecution().toString()) and vector.IvfIndex.read(spark, str(tmp_path / "none")) is None
+
+
+@pytest.mark.parametrize("name", ["ivf_probe_all", "ivf_probe_some", "lsh_ann", "quant_scan"])
+def test_recall_of_the_registered_searches(spark, name):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data here")
+    e = catalog.table(spark, folder, "embeddings")
+    queries = {r.vec_id for r in e.where("vec_id % 20 = 0").collect()}
+    exact = {(r.query_id, r.vec_id) for r in vector.knn_batch(e, catalog._queries(spark, folder), 10).collect()}
+    found = {(r.query_id, r.vec_id) for r in catalog.QUERIES[name](spark, folder).collect()}
+    assert {q for q, _ in exact} == queries and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_vector_searches_of_few_or_no_rows(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    few = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    ask = lambda df: df.select(F.col("vec_id").alias("query_id"), "embedding")
+    for df in (none, few):
+        assert vector.ProjectionIndex(df).search_batch(ask(none), 2).count() == 0
+        assert vector.knn_batch(df, ask(none), 2).count() == 0
+    assert [(r.query_id, r.vec_id, r.score) for r in vector.knn_batch(few, ask(few), 1).orderBy("query_id").collect()] == [(1, 1, 0.0), (2, 2, 1.0), (3, 2, 1.0)]
+    assert vector.IvfIndex.build(few, 2).search_batch(ask(few), 3, 2).where("query_id = 2").count() == 3
+    assert vector.knn_batch(none, ask(few), 2).count() == 0 and vector.ProjectionIndex(none).search_batch(ask(few), 2).count() == 0
+
+
+def test_text_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Naïve café", "x"), (2, "cafe cafe", None), (3, None, "cafe"), (4, "...", "a b")], "id int, text string, title string")
+    index = lexical.TextIndex(spark, str(tmp_path / "text"), ("text", "title"))
+    assert not index.exists()
+    index.build(docs, "id")
+    for query in ("CAFÉ", "naive b", "cafe a cafe", "nothing", ""):
+        assert [tuple(r) for r in index.search(query, 5).collect()] == [tuple(r) for r in lexical.bm25(docs, query, 5, "id", ("text", "title")).collect()]
+    assert [r.id for r in index.search("cafe", 1, docs.where("id <> 3")).collect()] == [2]
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", index.search("cafe", 1)._jdf.queryExecution().toString())
+    index.drop()
+    assert not index.exists()
+
+
+def test_table_versions(spark, tmp_path):
+    t = store.Table(spark, str(tmp_path / "t"))
+    rows = lambda *ids: spark.createDataFrame([(i, f"p{i}") for i in ids], "id int, path string")
+    t.overwrite(rows(1, 2))
+    t.append(rows(3))
+    t.append(rows())
+    first = t._pointer()["parts"][0]
+    t.delete(rows(3), "path")
+    assert sorted(r.id for r in t.read().collect()) == [1, 2] and t._pointer()["parts"][0] == first and t.version == 3
+    # A run that broke off before its version was in place leaves the table as it was.
+    t._write(rows(9))
+    assert sorted(r.id for r in store.Table(spark, t.path).read().collect()) == [1, 2]
+    with pytest.raises(RuntimeError):
+        t._point([first], 3)
+    t.compact()
+    assert sorted(r.id for r in t.read().collect()) == [1, 2] and len([x for x in os.listdir(t.path) if x.startswith("part-")]) == 1
 
 
 def test_embedding(spark):
