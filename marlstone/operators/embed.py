@@ -45,6 +45,20 @@ def pool(hidden: np.ndarray, mask: np.ndarray, kind: str = "mean") -> np.ndarray
     return l2((hidden * weights).sum(axis=1) / np.maximum(weights.sum(axis=1), 1e-9))
 
 
+def pool_rows(df: DataFrame, dim: int, tokens: str = "tokens", held: str = "held", out: str = "pooled", kind: str = "mean") -> DataFrame:
+    """Adds pool() of each row: tokens is the row-wise array of its token vectors, held how many of them count (at least one)."""
+
+    @F.pandas_udf("array<double>")
+    def run(hidden: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for h, k in zip(hidden, n, strict=True):
+            rows = np.asarray(h, dtype=np.float64).reshape(1, -1, dim)
+            out.append(pool(rows, (np.arange(rows.shape[1]) < k)[None, :], kind)[0])
+        return pd.Series(out)
+
+    return df.withColumn(out, run(F.col(tokens), F.col(held)))
+
+
 # Prefixes by model family.
 PREFIXES = {
     "e5": ("query: ", "passage: "),

@@ -244,15 +244,13 @@ def children(symbols: DataFrame) -> DataFrame:
     )
 
 
-def kept_by_kind(symbols: DataFrame, kinds: list[str], depth: int = 16) -> DataFrame:
-    """Top-level symbols of one of the kinds or with such a descendant (nesting up to depth)."""
+def kept_by_kind(symbols: DataFrame, kinds: list[str]) -> DataFrame:
+    """Top-level symbols of one of the kinds or with such a descendant, however deep; each round goes up by one parent."""
     up = symbols.select("sym_id", "parent")
-    front = symbols.where(F.col("kind").isin(*kinds)).select("sym_id")
+    front = symbols.where(F.col("kind").isin(*kinds)).select("sym_id").persist()
     seen = front
-    for _ in range(depth):
-        front = up.join(front, "sym_id", "left_semi").where("parent IS NOT NULL").select(F.col("parent").alias("sym_id")).distinct()
-        front = front.join(seen, "sym_id", "left_anti")
-        if front.isEmpty():
-            break
+    while not front.isEmpty():
+        above = up.join(front, "sym_id", "left_semi").where("parent IS NOT NULL").select(F.col("parent").alias("sym_id")).distinct()
+        front = above.join(seen, "sym_id", "left_anti").persist()
         seen = seen.unionByName(front)
     return symbols.where("parent IS NULL").join(seen, "sym_id", "left_semi")

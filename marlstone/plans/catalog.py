@@ -6,12 +6,15 @@ and lang the path; part's keys, taken modulo their number, a call graph; convers
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.functions import text as text_functions
 from marlstone.operators import changes, chunking, classify, embed, graph, lexical, quantize, rank, splitter, store, vector
+from marlstone.sources import pdftext
 from marlstone.streaming import sync
 
 QUERIES: dict = {}
@@ -47,14 +50,25 @@ _COS = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embed
 _Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 
 
-@query(f"SELECT e.vec_id, {_COS} AS score FROM embeddings e, {_Q0} q ORDER BY score DESC, vec_id LIMIT 10")
+def _queries(spark, d):
+    """The query set of the searches: every row whose id is divisible by 20."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _batch_sql(where: str = "true") -> str:
+    return f"""SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
+      FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND {where}) WHERE rank <= 10"""
+
+
+@query(_batch_sql())
 def knn_exact(spark, d):
-    return vector.knn(table(spark, d, "embeddings"), query_vector(spark, d), 10)
+    return vector.knn_batch(table(spark, d, "embeddings"), _queries(spark, d), 10)
 
 
-@query(f"SELECT e.vec_id, {_COS} AS score FROM embeddings e, {_Q0} q WHERE e.vec_id % 4 <> 1 AND e.label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 10")
+@query(_batch_sql("e.vec_id % 4 <> 1 AND e.label IN (1, 2, 3)"))
 def knn_scoped(spark, d):
-    return vector.knn(table(spark, d, "embeddings"), query_vector(spark, d), 10, (F.col("vec_id") % 4 != 1) & F.col("label").isin(1, 2, 3))
+    return vector.knn_batch(table(spark, d, "embeddings").where((F.col("vec_id") % 4 != 1) & F.col("label").isin(1, 2, 3)), _queries(spark, d), 10)
 
 
 @query(
@@ -67,17 +81,7 @@ def knn_batch_topk(spark, d):
     return vector.knn_batch(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 3)
 
 
-def _queries(spark, d):
-    """The query set of the searches: every row whose id is divisible by 20."""
-    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-
-
-_BATCH_10 = f"""SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
-  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10"""
-
-
-@query(_BATCH_10)
+@query(_batch_sql())
 def ivf_probe_all(spark, d):
     return vector.IvfIndex.build(table(spark, d, "embeddings"), 16).search_batch(_queries(spark, d), 10, 16)
 
@@ -108,13 +112,14 @@ def embed_normalize(spark, d):
 
 
 @query(
-    """SELECT label, list(round(m, 6) ORDER BY i) AS pooled FROM (
-      SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) t(i) GROUP BY label, i) GROUP BY label"""
+    """SELECT vec_id, list_transform(m, lambda x: CASE WHEN n > 0 THEN round(x / n, 6) ELSE 0.0 END) AS pooled FROM (
+      SELECT vec_id, m, sqrt(list_sum(list_transform(m, lambda x: x * x))) AS n FROM (
+        SELECT vec_id, list_transform(range(1, 9), lambda j: list_sum(list_transform(range(0, vec_id % 8 + 1), lambda i: CAST(embedding[8 * i + j] AS DOUBLE))) / (vec_id % 8 + 1)) AS m FROM embeddings))"""
 )
 def mean_pool(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = e.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m"))
-    return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("pooled"))
+    # Each vector as eight token vectors, of which the first few are unmasked.
+    e = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 8 + 1).alias("held"))
+    return embed.pool_rows(e, 8, "embedding").select("vec_id", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
 
 
 @query("SELECT item_id, 'query: ' || text AS as_query, 'passage: ' || text AS as_passage FROM benchmark")
@@ -326,7 +331,11 @@ def delete_paths(spark, d):
 @query("SELECT doc_id FROM documents")
 def append_batches(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
-    return docs.where("doc_id % 3 = 0").unionByName(docs.where("doc_id % 3 = 1")).unionByName(docs.where("doc_id % 3 = 2"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")
+    appended = store.Table(spark, f"{folder.rstrip('/')}/appended-{uuid.uuid4().hex}")
+    for part in range(3):
+        appended.append(docs.where(F.col("doc_id") % 3 == part))
+    return appended.read()
 
 
 @query("SELECT o_orderkey, n_expected FROM (SELECT o_orderkey, CAST(o_orderkey % 7 AS BIGINT) AS n_expected, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders) WHERE n = n_expected")
@@ -655,22 +664,16 @@ _RUNS = "runs AS (SELECT conv_id, turn, text, round(CASE WHEN turn % 5 = 0 THEN
 _MODE = "mode AS (SELECT conv_id, size AS body FROM (SELECT conv_id, size, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, size) AS rn FROM runs GROUP BY conv_id, size) WHERE rn = 1)"
 
 
-def _font_runs(spark, d):
-    size = F.when(F.col("turn") % 5 == 0, 14.04).when(F.col("turn") % 2 == 0, 10.01).otherwise(10.03)
-    return table(spark, d, "conversations").select("conv_id", "turn", "text", F.round(size.cast("double"), 1).alias("size"))
-
-
-def _body_size(runs):
-    w = Window.partitionBy("conv_id").orderBy(F.desc("n"), "size")
-    return runs.groupBy("conv_id", "size").agg(F.count("*").alias("n")).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("conv_id", F.col("size").alias("body"))
+def _measured(spark, d):
+    size = F.when(F.col("turn") % 5 == 0, 14.04).when(F.col("turn") % 2 == 0, 10.01).otherwise(10.03).cast("double")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text", F.round(size, 1).alias("size"))))
+    pages = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(ordered, lambda x: F.struct(x["text"].alias("text"), x["size"].alias("size"))).alias("lines"))
+    return pdftext.measure(pages, "conv_id")
 
 
 @query(f"WITH {_RUNS}, {_MODE} SELECT conv_id, CAST(body AS DOUBLE) AS body FROM mode")
 def font_mode(spark, d):
-    return _body_size(_font_runs(spark, d))
-
-
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+    return _measured(spark, d).select("conv_id", "body")
 
 
 @query(
@@ -678,10 +681,7 @@ _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
     WHERE r.size >= 1.2 * m.body AND strlen(r.text) <= 120 AND CAST(length(regexp_replace(r.text, '[^A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')) AS DOUBLE) / strlen(r.text) >= 0.5 GROUP BY r.conv_id"""
 )
 def heading_pick(spark, d):
-    runs = _font_runs(spark, d)
-    letters = F.length(F.regexp_replace("text", "[^A-Za-zÀ-ÖØ-öø-ÿ]", ""))
-    good = runs.join(_body_size(runs), "conv_id").where((F.col("size") >= 1.2 * F.col("body")) & (F.octet_length("text") <= 120) & (letters / F.octet_length("text") >= 0.5))
-    return good.groupBy("conv_id").agg(F.min_by("text", "turn").alias("heading"))
+    return _measured(spark, d).where("heading IS NOT NULL").select("conv_id", "heading")
 
 
 @query(

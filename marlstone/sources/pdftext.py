@@ -9,8 +9,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
 # Geometry and heading rules.
 LINE_DROP, WORD_GAP, SCRIPT_SIZE, SCRIPT_SHIFT = 0.3, 0.25, 0.8, 0.05
 HEADING_RATIO, HEADING_BYTES, HEADING_LETTERS = 1.2, 120, 0.5
@@ -183,6 +187,18 @@ def heading(found: list[tuple[str, float]]) -> str | None:
     return None
 
 
+def measure(pages: DataFrame, key: str) -> DataFrame:
+    """(key, body, heading) of pages (key, lines: array of text and size): body_size() and heading() of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[(x["text"], x["size"]) for x in page or []] for page in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([body_size(f) for f in found], pa.float64()), pa.array([heading(f) for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "body", "heading"])
+
+    return pages.select(key, "lines").mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, body double, heading string")
+
+
 def _streams(data: bytes) -> list[bytes]:
     """Content streams of the pages, in order of the file."""
     out = []
