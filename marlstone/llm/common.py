@@ -1,12 +1,16 @@
 """Shared pieces: the shared scratch folder, table reading, and row iteration over Arrow batches.
 
 Intermediate tables are written as Parquet in the folder named by ``spark.checkpoint.dir`` (all executors and
-the driver share it), so that a lost executor costs a recomputation of its own tasks only.
+the driver share it), so that a lost executor costs a recomputation of its own tasks only. They stay there while a result
+may still be read; a cluster's folder is cleared as its checkpoints are.
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,10 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
+    """The cluster's shared folder; a temporary one, deleted at exit, only where a local session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="marlstone-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        found = "file://" + made
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -10,8 +10,8 @@ the large groups left open and the sum over all buckets is level. No task gather
 input. A group larger than a fair share stays whole: its shard then exceeds the others, which are level.
 
 Only digests and sizes are shuffled, never texts. Rows find their shard by a join on the group's digest, whose hot
-keys AQE can split, and slots are numbered by (shard, block of rows) plus the block's offset, so no shard's rows meet
-in one task.
+keys AQE can split, and slots are numbered by (shard, block of about ``SLOT_ROWS`` rows) plus the block's offset, so no
+shard's rows meet in one task, not even rows that are equal in all columns.
 
 Null texts count as empty and form a group with the empty text; a null doc_id is a row like any other (first in its
 block); repeated rows are separate rows of one group; an empty table gives an empty result. Extra columns are ignored.
@@ -110,6 +110,7 @@ def shard(docs: DataFrame, n_shards: int = 40, bucket_groups: int = BUCKET_GROUP
             (F.octet_length(text) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.md5(text).alias("gkey"),
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     groups = scratch.save(rows.groupBy("gkey").agg(F.sum("size").alias("group_size")))
@@ -135,13 +136,13 @@ def shard(docs: DataFrame, n_shards: int = 40, bucket_groups: int = BUCKET_GROUP
                 [(r["gkey"], s) for r, s in zip(large, large_shards, strict=True)], "gkey string, shard int"
             )
         )
-    # The block of a row within its shard: by a hash of the row, so that no block of a hot shard is large.
-    block = F.pmod(F.xxhash64("doc_id", "gkey"), F.lit(max(1, -(-n_rows // slot_rows))))
+    # The block of a row within its shard: by a hash of the row's number, so that no block is large.
+    block = F.pmod(F.xxhash64("row"), F.lit(max(1, -(-n_rows // (slot_rows * n_shards)))))
     dealt = scratch.save(rows.join(placed, "gkey").withColumn("block", block))
     counts = dealt.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("shard", "block").orderBy("doc_id", "gkey")
+    within = Window.partitionBy("shard", "block").orderBy("doc_id", "gkey", "row")
     return (
         dealt.withColumn("rn", F.row_number().over(within) - 1)
         .join(offsets, ["shard", "block"])

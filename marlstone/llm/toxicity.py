@@ -4,7 +4,7 @@ A document's features are the distinct words it holds and the distinct starts of
 the whole text. A sparse logistic model over them, whose weights are not negative (no word makes another less toxic),
 is fitted with a second loss: in every labelled text that mentions
 an identity term, the term is swapped for others of its category (the neutral one included), and the squared
-difference of the two scores' log-odds is penalised. A group's name then cannot carry a toxic score by itself, which
+difference of the log-odds of the text and of the swapped text is penalised; what the text's other words give stays. A group's name then cannot carry a toxic score by itself, which
 spares neutral mentions.
 
 The model is fitted on the driver on features of at most ``FIT_ROWS`` labelled documents; labels of held-out ids never
@@ -66,14 +66,25 @@ def feature_hash(feature: str) -> int:
 
 def hashed(words: set[str]) -> np.ndarray:
     """The hashes of a text's features; the fit needs no more of it."""
-    return np.array(sorted(map(feature_hash, features_of(words))), dtype=np.int64)
+    return _hashes(features_of(words))
 
 
-def swaps(found: np.ndarray, terms: tuple[tuple[str, ...], ...]) -> list[tuple[str, str]]:
-    """(term, other): each identity term that a text mentions, with each other term of its category."""
-    names = sorted({t for category in terms for t in category})
-    held = {t for t, h in zip(names, map(feature_hash, names), strict=True) if (at := int(np.searchsorted(found, h))) < len(found) and found[at] == h}
-    return [(t, other) for category in terms for t in category if t in held for other in category if other != t]
+def swaps(words: set[str], terms: tuple[tuple[str, ...], ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each identity term of a text and each other term of its category the hashed features that go and that come by the swap."""
+    out = []
+    own = features_of(words)
+    for category in terms:
+        for term in category:
+            if term in words:
+                for other in category:
+                    if other != term:
+                        changed = features_of((words - {term}) | {other})
+                        out.append((_hashes(own - changed), _hashes(changed - own)))
+    return out
+
+
+def _hashes(features: set[str]) -> np.ndarray:
+    return np.array(sorted(map(feature_hash, features)), dtype=np.int64)
 
 
 class Model:
@@ -93,13 +104,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def train(documents: list[np.ndarray], labels: np.ndarray, terms=IDENTITY_TERMS, l1: float = L1, counterfactual: float = COUNTERFACTUAL, steps: int = 120) -> tuple[float, dict[int, float]]:
-    """Fits by proximal gradient descent with momentum; documents are given as hashed features. Returns base and weights by hash."""
+def train(
+    documents: list[np.ndarray], labels: np.ndarray, swapped: list[list[tuple[np.ndarray, np.ndarray]]], l1: float = L1, counterfactual: float = COUNTERFACTUAL, steps: int = 120
+) -> tuple[float, dict[int, float]]:
+    """Fits by proximal gradient descent with momentum. Documents are hashed features, with the swaps of each; returns base and weights by hash."""
     n = len(documents)
     kinds, counts = np.unique(np.concatenate(documents), return_counts=True)
-    pairs = [(term, other) for d in documents for term, other in swaps(d, terms)]
-    sides = {t: hashed({t}) for t in {t for p in pairs for t in p}}
-    named = np.unique(np.concatenate([np.empty(0, np.int64), *sides.values()]))
+    pairs = [p for found in swapped for p in found if len(p[0]) or len(p[1])]
+    named = np.unique(np.concatenate([np.empty(0, np.int64), *[side for p in pairs for side in p]]))
     kinds = np.union1d(kinds[counts >= LEAST_DOCS], named)
     m = len(kinds)
 
@@ -112,7 +124,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, terms=IDENTITY_TERMS,
     owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows] if rows else 0)
     if pairs:
         # The difference of a text and its counterfactual version, as signed entries.
-        parts = [(i, columns(sides[t]), sign) for i, (term, other) in enumerate(pairs) for t, sign in ((term, 1.0), (other, -1.0))]
+        parts = [(i, columns(side), sign) for i, pair in enumerate(pairs) for side, sign in zip(pair, (1.0, -1.0), strict=True)]
         d_owner = np.concatenate([np.full(len(c), i) for i, c, _ in parts])
         d_col = np.concatenate([c for _, c, _ in parts])
         d_sign = np.concatenate([np.full(len(c), sign) for _, c, sign in parts])
@@ -139,10 +151,16 @@ def train(documents: list[np.ndarray], labels: np.ndarray, terms=IDENTITY_TERMS,
     return base, dict(zip(kinds[kept].tolist(), w[kept].tolist(), strict=True))
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        found = [hashed(words_of(t)).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], ["doc_id", "features", "label"])
+def _hashed(terms):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            found = [hashed(w).tobytes() for w in words]
+            swapped = [[{"gone": g.tobytes(), "came": c.tobytes()} for g, c in swaps(w, terms)] for w in words]
+            kind = pa.list_(pa.struct([("gone", pa.binary()), ("came", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(swapped, kind), batch.column(2)], ["doc_id", "features", "swaps", "label"])
+
+    return run
 
 
 def _names(wanted: dict[int, float]):
@@ -160,12 +178,13 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, terms=IDENTIT
     The driver gets hashes of the sample's features; the names of those that are kept are read from the sample again.
     """
     picked = sample(docs, labels, "toxic", MODULUS, HELD_OUT, limit).select("doc_id", "text", "label")
-    rows = picked.mapInArrow(_hashed, "doc_id bigint, features binary, label int").collect()
+    rows = picked.mapInArrow(_hashed(terms), "doc_id bigint, features binary, swaps array<struct<gone:binary,came:binary>>, label int").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
     y = np.array([r["label"] for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return float((y.sum() + 1) / (len(y) + 2))
-    base, weights = train([np.frombuffer(r["features"], dtype=np.int64) for r in rows], y, terms)
+    numbers = lambda b: np.frombuffer(b, dtype=np.int64)
+    base, weights = train([numbers(r["features"]) for r in rows], y, [[(numbers(x["gone"]), numbers(x["came"])) for x in r["swaps"]] for r in rows])
     named = {r[0] for r in picked.mapInArrow(_names(weights), "feature string").distinct().collect()}
     named |= {f for category in terms for t in category for f in features_of({t})}
     return Model(base, {f: weights[h] for f in sorted(named) if (h := feature_hash(f)) in weights})

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, with awkward rows: nulls, empty and long texts, ties, copies, extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -410,6 +411,19 @@ def test_sharding_balance(spark):
     big = max(sizes.values())
     rest = sorted(sizes.values())[:-1]
     assert len(sizes) == 8 and big == 150 * 1216 and max(rest) - min(rest) < 0.02 * sum(rest) / 7
+    # Small cases against the best of all partitions.
+    for _ in range(12):
+        sizes, k = [rnd.randrange(1, 60) for _ in range(7)], rnd.choice([2, 3])
+        sums, slots = sharding.difference(np.array([[0] * (k - 1) + [s] for s in sizes]))
+        loads = [sum(s for s, p in zip(sizes, slots[:, k - 1], strict=True) if p == i) for i in range(k)]
+        assert sorted(loads) == sorted(sums.tolist()) and sum(loads) == sum(sizes)
+        best = min(max(np.bincount(c, weights=sizes, minlength=k)) for c in itertools.product(range(k), repeat=7))
+        assert max(loads) <= best * 7 / 6
+    same = spark.createDataFrame([(1, "equal")] * 90 + [(None, None)] * 30 + [(i, f"t{i}") for i in range(30)], "doc_id bigint, text string")
+    by: dict = {}
+    for r in sharding.shard(same, 3, slot_rows=5).collect():
+        by.setdefault(r.shard, []).append(r.slot)
+    assert sum(map(len, by.values())) == 150 and all(sorted(s) == list(range(len(s))) for s in by.values())
     total, slots = sharding.difference(np.array([[0, 0, s] for s in (8, 7, 6, 5, 4)]))
     assert total.sum() == 30 and total.max() - total.min() <= 3 and sorted(slots[0]) == [0, 1, 2]
 
@@ -455,14 +469,52 @@ def test_counterfactual_penalty():
     for i in range(600):
         toxic = i % 3 == 0
         w = set(words(rnd, 20)) | ({"muslims"} if rnd.random() < (0.7 if toxic else 0.05) else set()) | ({"vile"} if toxic and rnd.random() < 0.6 else set())
-        texts.append(toxicity.hashed(w))
+        texts.append(w)
         y.append(float(toxic))
     h = toxicity.feature_hash("muslims")
-    plain = toxicity.train(texts, np.array(y), counterfactual=0.0)[1].get(h, 0.0)
-    fair = toxicity.train(texts, np.array(y), counterfactual=5.0)[1].get(h, 0.0)
+    features, swapped = [toxicity.hashed(w) for w in texts], [toxicity.swaps(w, toxicity.IDENTITY_TERMS) for w in texts]
+    plain = toxicity.train(features, np.array(y), swapped, counterfactual=0.0)[1].get(h, 0.0)
+    fair = toxicity.train(features, np.array(y), swapped, counterfactual=5.0)[1].get(h, 0.0)
     assert plain > 0.5 and fair < 0.5 * plain
 
 
+def test_swaps_are_those_of_the_swapped_text():
+    """The features that go and come are the difference of the text and the text with the term replaced, word by word."""
+    for text in ("the muslims and a muslim mosque", "blacksmith black women womanly", "no group here", "people"):
+        words = text.split()
+        want = []
+        for category in toxicity.IDENTITY_TERMS:
+            for term in category:
+                for other in category:
+                    if term in words and other != term:
+                        before, after = (set(toxicity.hashed(set(w)).tolist()) for w in (words, [other if w == term else w for w in words]))
+                        want.append((before - after, after - before))
+        assert [(set(g.tolist()), set(c.tolist())) for g, c in toxicity.swaps(set(words), toxicity.IDENTITY_TERMS)] == want
+    model = toxicity.Model(-1.0, {"bad": 2.0, "awfu*4": 1.0, "awful*5": 0.5})
+    odds = lambda p: np.log(p / (1 - p))
+    assert odds(model.probability({"bad", "awfully"})) == pytest.approx(2.5) and odds(model.probability(set())) == pytest.approx(-1.0)
+
+
+def test_convolution_against_plain_loops():
+    net = quality.ByteNet(seed=5)
+    rng = np.random.default_rng(3)
+    net.bias, net.out, net.out_bias = rng.standard_normal(quality.FILTERS).astype(np.float32) * 0.1, rng.standard_normal(2 * quality.FILTERS).astype(np.float32), np.float32(0.2)
+    texts = [b"", b"short", b"abcabcabcabc" * 20, bytes(rng.integers(32, 127, 1300, dtype=np.uint8))]
+    for text, got in zip(texts, net.probability(texts), strict=True):
+        symbols = []
+        for i, c in enumerate(text):
+            again = any(i - lag >= 0 and i + 4 <= len(text) and text[i : i + 4] == text[i - lag : i - lag + 4] for lag in range(2, quality.LAGS + 1))
+            symbols.append(c + quality.REPEAT * again)
+        chunks = [symbols[at : at + quality.CHUNK] for at in range(0, max(len(text) - quality.CHUNK, 0) + quality.STEP, quality.STEP)][: len(quality.chunked(text))]
+        pooled = []
+        for chunk in chunks:
+            chunk = chunk + [quality.PAD] * (quality.CHUNK - len(chunk))
+            spots = range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)
+            pooled.append([max(0.0, max(net.bias[f] + sum(net.conv[o, chunk[s + o], f] for o in range(quality.WIDTH)) for s in spots)) for f in range(quality.FILTERS)])
+        features = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)])
+        assert got == pytest.approx(1 / (1 + np.exp(-(features @ net.out + net.out_bias))), abs=1e-4)
+
+
 def lines_left(df, **options):
     got = linededup.digest(linededup.dedup_lines(df, **options)).collect()
     return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got), key=str)
