@@ -308,6 +308,43 @@ def test_embedding(spark):
         embed.embed(df, lambda t: np.full((len(t), 2), np.nan)).collect()
 
 
+def test_batches_of_like_length():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(0, 9000, 300).tolist()
+    batches = embed.padded_batches(lengths, 4096, 2048)
+    assert sorted(i for _, own in batches for i in own) == list(range(300)) and [p for p, _ in batches] == sorted(p for p, _ in batches)
+    for padded, own in batches:
+        assert len(own) <= max(1, min(64, 4096 // padded)) and all(min(lengths[i], 2048) <= padded for i in own)
+    model = embed.HashingModel(16)
+    texts = ["word " * n for n in (300, 2, 80, 0, 70)]
+    asked = []
+    run = embed.bucketed(lambda t: asked.append(len(t)) or model(t), lambda t: len(t.split()), 256)
+    assert np.array_equal(run(texts), model(texts)) and len(asked) == 3 and len(run([])) == 0
+
+
+def test_remote_model():
+    calls = []
+
+    def post(texts):
+        calls.append(texts)
+        if len(calls) in (1, 3):
+            raise ConnectionError
+        return [[float(t), 1.0] for t in texts]
+
+    model = embed.RemoteModel(post, most_items=2, most_bytes=3, first_wait=0.001, at_once=1)
+    assert model(["1", "22", "3", "4444"]).tolist() == [[1, 1], [22, 1], [3, 1], [4444, 1]]
+    assert [c for c in calls] == [["1", "22"], ["1", "22"], ["3"], ["3"], ["4444"]]
+    never = embed.RemoteModel(lambda t: (_ for _ in ()).throw(TimeoutError()), retries=1, first_wait=0.001)
+    with pytest.raises(TimeoutError):
+        never(["a"])
+
+
+def test_model_profiles(spark):
+    p = embed.profile("intfloat/e5-base-v2", 512, 400, passage_prefix="")
+    assert (p.query_prefix, p.passage_prefix, p.longest, p.pooling) == ("query: ", "", 400, "mean")
+    assert embed.profile("BAAI/bge-m3").pooling == "cls" and embed.catalogue(spark).count() == 20
+
+
 def symbols(spark, data):
     return spark.createDataFrame(
         [(i, k, n, q, f, "rust", ln, ln + 1, None, None) for i, (k, n, q, f, ln) in enumerate(data)],
