@@ -78,11 +78,16 @@ def _contract(labels: DataFrame, good: DataFrame, scratch: Scratch) -> DataFrame
     return out
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (key, node) of buckets with more than one component, with their component."""
-    placed = members.join(labels, "node")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return placed.join(open_keys, "key")
+def _open(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members (key, node) of buckets with more than one component, with their component.
+
+    The keys are written before the join, so that AQE can split a hot bucket there.
+    """
+    placed = scratch.save(members.join(labels, "node"))
+    open_keys = scratch.save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
+    out = scratch.save(placed.join(open_keys, "key"))
+    scratch.drop(placed)
+    return out
 
 
 def link(members: DataFrame, items: DataFrame, verify: Callable, make_weigh: Callable, threshold: float, rounds: int, scratch: Scratch) -> DataFrame:
@@ -94,7 +99,7 @@ def link(members: DataFrame, items: DataFrame, verify: Callable, make_weigh: Cal
     labels = scratch.save(members.select("node").distinct().withColumn("component", F.col("node")))
     left, tested = members, None
     for turn in range(rounds):
-        waiting = scratch.save(_open(left, labels))
+        waiting = _open(left, labels, scratch)
         if waiting.isEmpty():
             return labels
         chosen = scratch.save(waiting.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("c")))
@@ -120,7 +125,7 @@ def link(members: DataFrame, items: DataFrame, verify: Callable, make_weigh: Cal
         done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = done if tested is None else tested.unionByName(done)
     # The rest exactly: a bucket's members are dealt to blocks, and each two blocks meet in a cell of bounded size.
-    waiting = scratch.save(_open(left, labels))
+    waiting = _open(left, labels, scratch)
     if waiting.isEmpty():
         return labels
     parts = waiting.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))

@@ -234,7 +234,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     signed = scratch.save(docs.select("doc_id", "text").mapInArrow(_signatures(idf, bands, rows), "doc_id bigint, node binary, bands array<bigint>"))
     nodes = signed.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least_id"), F.min("doc_id").alias("known_id"), F.count("*").alias("n_rows"))
     banded = signed.select("node", F.explode("bands").alias("key")).distinct()
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Written before the join, so that AQE can split a hot bucket there.
+    shared = scratch.save(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     members = scratch.save(banded.join(shared, "key").select("key", "node"))
     candidates = scratch.save(members.select("node").distinct().join(nodes.select("node", "least_id"), "node"))
     held = spark.sparkContext.broadcast(_bitmap(candidates, BITMAP_BITS))
@@ -262,10 +263,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         return pairs.mapInArrow(_verify(idf, threshold), "a binary, b binary, good boolean")
 
     labels = link(members, texts.withColumnRenamed("text", "item"), verify, _weigh_one(idf), threshold, rounds, scratch)
-    classed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classed = scratch.save(nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     # The row that stands for the class: of least id, a null one only where no row has an id; of equal ids the least node.
     first = F.min(F.struct(F.col("known_id").isNull().alias("unknown"), F.coalesce("known_id", F.lit(NULL_ID)).alias("m_doc"), "node")).alias("first")
-    sizes = classed.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("n_rows").alias("class_size"), first)
+    sizes = scratch.save(classed.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("n_rows").alias("class_size"), first))
     of_node = scratch.save(classed.join(sizes, "component").select("node", "class_id", "class_size", "first"))
     null_id = F.when(F.col("class_id") == NULL_ID, F.lit(None).cast("bigint")).otherwise(F.col("class_id"))
     stands = (F.col("first.node") == F.col("node")) & (F.col("first.m_doc") == F.coalesce("doc_id", F.lit(NULL_ID)))

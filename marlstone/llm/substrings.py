@@ -201,7 +201,8 @@ def _classes(banded: DataFrame, docs: DataFrame, scratch: Scratch, threshold: fl
     ``banded`` has digest and the bands' keys, once for each line of equal words.
     """
     banded = banded.select(F.col("digest").alias("node"), F.explode(F.array(*[f"band{b}" for b in range(BANDS)])).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    # Written before the join, so that AQE can split a hot bucket there.
+    shared = scratch.save(banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"))
     members = scratch.save(banded.join(shared, "key").select("key", "node"))
     candidates = scratch.save(members.select(F.col("node").alias("digest")).distinct())
     held = docs.sparkSession.sparkContext.broadcast(_bitmap(candidates))
@@ -259,7 +260,7 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, least_run: int = LEAS
     classes = _classes(spread.select("digest", *bands), docs, scratch, threshold)
     # A line in no component stands for itself.
     placed = spread.join(classes, "digest", "left").select("least", "one", "other", "digest", F.coalesce("component", "digest").alias("component"))
-    of_class = placed.groupBy("component").agg(F.min("least").alias("class_id"), F.min("one").alias("one"), F.max("other").alias("other")).where("one <> other")
+    of_class = scratch.save(placed.groupBy("component").agg(F.min("least").alias("class_id"), F.min("one").alias("one"), F.max("other").alias("other")).where("one <> other"))
     lines_too = scratch.save(placed.join(of_class.select("component", "class_id"), "component").select("digest", "class_id"))
     scratch.release()
     places = rows.mapInArrow(_place_rows, "digest bigint, row_hash bigint, doc_id bigint, words bigint, spots bigint")
