@@ -72,13 +72,3 @@ def elapsed(seconds: Column) -> Column:
     return (
         F.when(seconds.isNull(), "never").when(seconds < 60, part(1, "s")).when(seconds < 3600, part(60, "m")).when(seconds < 86400, part(3600, "h")).otherwise(part(86400, "d"))
     )
-
-
-def squash(text: Column) -> Column:
-    """Runs of white space become one space."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
-def first_doc_line(doc: Column) -> Column:
-    """The first line of a documentation comment without its markers."""
-    return F.trim(F.regexp_replace(F.substring_index(F.trim(doc), "\n", 1), r"^(///|//!|/\*\*|\*/|\*|//|#)\s*|\s*\*/$", ""))

@@ -15,7 +15,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.operators import vector
 
@@ -121,13 +120,7 @@ def scan_batch(table: DataFrame, queries: DataFrame, k: int, dim: int, refine: i
         return score
 
     near = vector.batched(table.select(F.col(id_column).cast("long"), code), queries, refine * k, make_score).select("query_id", "vec_id")
-    exact = (
-        near.join(table.select(F.col(id_column).cast("long").alias("vec_id"), F.col(embedding).alias("m_row")), "vec_id")
-        .join(queries.select("query_id", F.col("embedding").alias("m_query")), "query_id")
-        .select("query_id", "vec_id", vector.cosine(F.col("m_row"), F.col("m_query")).alias("score"))
-    )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return vector.rescored(near, table.select(F.col(id_column).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")), queries, k)
 
 
 def boosts(candidates: DataFrame, query: list[float], id_column: str = "id", code: str = "turbo_code") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.operators import codecs
 from marlstone.operators.store import Table
 
 #: Scores are rounded so that ties do not depend on the order of additions.
@@ -109,6 +110,17 @@ def batched(rows: DataFrame, queries: DataFrame, k: int, make_score, block: int
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def rescored(near: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): of the candidates (query_id, vec_id) the k best of each query by exact cosine."""
+    exact = (
+        near.join(rows.select("vec_id", F.col("embedding").alias("m_row")), "vec_id")
+        .join(queries.select("query_id", F.col("embedding").alias("m_query")), "query_id")
+        .select("query_id", "vec_id", cosine(F.col("m_row"), F.col("m_query")).alias("score"))
+    )
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return exact.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def _cosines(queries: np.ndarray):
     unit = _unit(queries)
     return lambda batch: unit @ _unit(_matrix(batch.column(1), batch.num_rows)).T
@@ -136,14 +148,17 @@ def _neighbours(sample: np.ndarray, k: int, n_queries: int) -> tuple[np.ndarray,
 class IvfIndex:
     """Cells around seeded centroids. Centroids are fitted on a bounded sample, every row is assigned to its nearest cell.
 
-    ``nprobes`` is the least number of cells by which ``recall`` of the k nearest rows are found within the sample.
+    ``nprobes`` is the least number of cells by which ``recall`` of the k nearest rows are found within the sample. With a
+    codec the rows of a cell are ranked by their codes first, without reading their vectors, and ``refine`` times as many
+    as asked for by their vectors then.
     """
 
-    def __init__(self, centroids: np.ndarray, assigned: DataFrame, nprobes: int):
-        self.centroids, self.assigned, self.nprobes = centroids, assigned, nprobes
+    def __init__(self, centroids: np.ndarray, assigned: DataFrame, nprobes: int, codec=None):
+        self.centroids, self.assigned, self.nprobes, self.codec = centroids, assigned, nprobes, codec
 
     @staticmethod
-    def build(table: DataFrame, n_cells: int, sample_rows: int = 20_000, rounds: int = 10, seed: int = 42, id_column: str = "vec_id", embedding: str = "embedding", recall: float = 0.97, k: int = 10, tune_queries: int = 500) -> IvfIndex:
+    def build(table: DataFrame, n_cells: int, sample_rows: int = 20_000, rounds: int = 10, seed: int = 42, id_column: str = "vec_id", embedding: str = "embedding", recall: float = 0.97, k: int = 10, tune_queries: int = 500, codec: str | None = None) -> IvfIndex:
+        """codec is None, "sq" (a byte per coordinate) or "pq" (a byte per eight coordinates)."""
         x = _sampled(table, sample_rows, seed, id_column, embedding)
         rng = np.random.default_rng(seed)
         centroids = x[rng.choice(len(x), min(n_cells, len(x)), replace=False)]
@@ -163,14 +178,19 @@ class IvfIndex:
             found = np.cumsum(np.bincount(place.ravel(), minlength=len(fixed))) / place.size
             nprobes = int(np.argmax(found >= recall)) + 1
 
+        coder = None
+        if codec and len(x):
+            coder = codecs.ScalarCodec(x) if codec == "sq" else codecs.ProductCodec(x, max(x.shape[1] // 8, 1))
+
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                code = [c.tobytes() for c in coder.encode(_unit(_matrix(batch.column(1), batch.num_rows)))] if coder and batch.num_rows else [None] * batch.num_rows
                 cell = (_matrix(batch.column(1), batch.num_rows) @ fixed.T).argmax(axis=1).astype(np.int32) if batch.num_rows else np.empty(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(code, pa.binary())], [*batch.schema.names, "cell", "code"])
 
         rows = table.select(F.col(id_column).alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding"))
-        schema = f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, embedding array<float>, cell int"
-        return IvfIndex(fixed, rows.mapInArrow(assign, schema), nprobes)
+        schema = f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, embedding array<float>, cell int, code binary"
+        return IvfIndex(fixed, rows.mapInArrow(assign, schema), nprobes, coder)
 
     def write(self, path: str) -> IvfIndex:
         """The stored index: rows in folders by cell, so that a probe reads its cells alone, and the centroids."""
@@ -179,7 +199,7 @@ class IvfIndex:
         cells.overwrite(self.assigned.repartition("cell"))
         rows = [(i, self.nprobes, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
         centroids.overwrite(spark.createDataFrame(rows, "cell int, nprobes int, centroid array<double>"))
-        return IvfIndex.read(spark, path)
+        return IvfIndex(self.centroids, cells.read(), self.nprobes, self.codec)
 
     @staticmethod
     def _tables(spark: SparkSession, path: str) -> tuple[Table, Table]:
@@ -208,8 +228,9 @@ class IvfIndex:
         rows = self.assigned.where(F.col("cell").isin(cells))
         return knn(rows if among is None else rows.join(among.select("vec_id"), "vec_id", "left_semi"), query, k)
 
-    def search_batch(self, queries: DataFrame, k: int, nprobes: int | None = None, block: int = 4096) -> DataFrame:
+    def search_batch(self, queries: DataFrame, k: int, nprobes: int | None = None, block: int = 4096, refine: int = 4) -> DataFrame:
         """(query_id, vec_id, score, rank) of the k nearest rows of every query within its cells, scored exactly."""
+        decode = self.codec.decode if self.codec is not None else None
 
         def make_score(q: np.ndarray):
             unit, near = _unit(q), self.probed(q, nprobes or self.nprobes)
@@ -219,7 +240,10 @@ class IvfIndex:
             def score(batch: pa.RecordBatch) -> np.ndarray:
                 cell = batch.column(2).to_numpy()
                 out = np.full((len(q), batch.num_rows), -np.inf)
-                rows = _unit(_matrix(batch.column(1), batch.num_rows))
+                if decode is None:
+                    rows = _unit(_matrix(batch.column(1), batch.num_rows))
+                else:
+                    rows = _unit(decode(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)))
                 for c in np.unique(cell):
                     at = np.ix_(np.flatnonzero(wanted[:, c]), np.flatnonzero(cell == c))
                     out[at] = unit[at[0].ravel()] @ rows[at[1].ravel()].T
@@ -227,7 +251,11 @@ class IvfIndex:
 
             return score
 
-        return batched(self.assigned.select(F.col("vec_id").cast("long"), "embedding", F.col("cell").cast("int")), queries, k, make_score, block)
+        rows = self.assigned.select(F.col("vec_id").cast("long"), "embedding" if decode is None else "code", F.col("cell").cast("int"))
+        if decode is None:
+            return batched(rows, queries, k, make_score, block)
+        near = batched(rows, queries, refine * k, make_score, block).select("query_id", "vec_id")
+        return rescored(near, self.assigned.select(F.col("vec_id").cast("long"), "embedding"), queries, k)
 
 
 def _code(rows: np.ndarray, planes: np.ndarray) -> np.ndarray:

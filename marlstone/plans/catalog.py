@@ -92,6 +92,18 @@ def ivf_probe_some(spark, d):
     return vector.IvfIndex.build(e, vector.choose(e.count(), 64, 8 << 30).num_partitions).search_batch(_queries(spark, d), 10)
 
 
+@query()
+def ivf_sq(spark, d):
+    e = table(spark, d, "embeddings")
+    return vector.IvfIndex.build(e, vector.choose(e.count(), 64, 8 << 30).num_partitions, codec="sq").search_batch(_queries(spark, d), 10)
+
+
+@query()
+def ivf_pq(spark, d):
+    e = table(spark, d, "embeddings")
+    return vector.IvfIndex.build(e, vector.choose(e.count(), 64, 8 << 30).num_partitions, codec="pq").search_batch(_queries(spark, d), 10, refine=8)
+
+
 @query()
 def lsh_ann(spark, d):
     return vector.ProjectionIndex(table(spark, d, "embeddings")).search_batch(_queries(spark, d), 10)

@@ -183,8 +183,10 @@ class Engine:
             return self.search(root, text, limit, languages, path_glob, include_tests, exhaustive=True, mode=mode)
         return page
 
-    def search_text(self, root: str, text: str, limit: int = 5, **options) -> str:
-        rows = [r.asDict() for r in self.search(root, text, limit, **options).collect()]
+    def search_text(self, root: str, text: str, limit: int = 5, below: str = "", **options) -> str:
+        """The page as text; paths are shown as seen from the folder ``below`` of the project."""
+        found = self.search(root, text, limit, **options)
+        rows = [r.asDict() for r in (found.withColumn("file_path", rank.relative_path(F.col("file_path"), below)) if below else found).collect()]
         page = [r | {"pos": i} for i, r in enumerate(rows)]
         if not page:
             return render.search_results([])
@@ -250,6 +252,14 @@ class Engine:
         listed = "\n".join(f"  {i}. {r}" for i, r in enumerate(roots, 1))
         raise LookupError(f"which project? known are:\n{listed}")
 
+    def dependency(self, root: str, package: str, home: str) -> str | None:
+        """The folder with the sources of a project's dependency, to be indexed like any other."""
+        return tree.dependency_root(self.spark, root.rstrip("/"), package, home.rstrip("/"))
+
+    def methods(self) -> DataFrame:
+        """(method, accuracy, speed, build, compression) of the search methods, for choosing by hand."""
+        return self.spark.createDataFrame([(m, *v) for m, v in vector.METHODS.items()], "method string, accuracy int, speed int, build int, compression int")
+
     def status(self) -> DataFrame:
         schema = "root_path string, languages array<string>, model_dim int, total_chunks bigint, total_files bigint, last_indexed_ns bigint, created_at_ns bigint, index_version int, search_method string"
         return self.projects.read() if self.projects.exists() else self.spark.createDataFrame([], schema)

@@ -8,6 +8,7 @@ Text that is no valid UTF-8 is left out; PDF files become page texts with form f
 from __future__ import annotations
 
 import hashlib
+import json
 import posixpath
 import re
 from collections.abc import Iterator
@@ -124,8 +125,42 @@ def preamble(manifests: DataFrame, cap: int = MANIFEST_CAP) -> DataFrame:
     return manifests.select("file_path", short.alias("content")).orderBy(F.col("file_path").contains("/"), "file_path")
 
 
-def dependency_roots(lock: str, package: str, home: str) -> list[str]:
-    """Where the sources of a locked dependency may lie, by the lock file's text: crate registry, node modules, lib, package cache."""
-    m = re.search(rf'name = "{re.escape(package)}"\s+version = "([^"]+)"', lock) or re.search(rf"^\s+{re.escape(package)}:\n(?:.*\n)*?\s+version: \"?([^\"\n]+)", lock, re.M)
-    version = m[1] if m else "*"
-    return [f"{home}/.cargo/registry/src/*/{package}-{version}", f"node_modules/{package}", f"lib/{package}", f"{home}/.pub-cache/hosted/*/{package}-{version}"]
+def _text(system, path) -> str:
+    if not system.exists(path):
+        return ""
+    return _read(system.makeQualified(path).toString()).decode("utf-8", "replace")
+
+
+def locked_version(lock: str, manifest: str, package: str) -> str | None:
+    """The version of a package by the text of a crate lock file, or of a node manifest (without its caret)."""
+    for block in lock.split("[[package]]")[1:]:
+        fields = dict(re.findall(r'^(name|version) = "([^"]*)"', block, re.M))
+        if fields.get("name") == package:
+            return fields.get("version")
+    try:
+        found = json.loads(manifest) if manifest.strip() else {}
+    except ValueError:
+        return None
+    for group in ("dependencies", "devDependencies"):
+        version = (found.get(group) or {}).get(package) if isinstance(found, dict) else None
+        if isinstance(version, str):
+            return version.lstrip("^")
+    return None
+
+
+def dependency_root(spark: SparkSession, root: str, package: str, home: str) -> str | None:
+    """Where the sources of a project's dependency lie: in the project, else in a crate registry (of the locked version, else
+    the greatest by name), else in a package cache. None if nowhere."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    base = make(root)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    version = locked_version(_text(system, make(base, "Cargo.lock")), _text(system, make(base, "package.json")), package)
+    crates = f"{home}/.cargo/registry/src/*/{package}-"
+    places = [f"{root}/node_modules/{package}", f"{root}/lib/{package}"]
+    places += [f"{crates}{version}"] if version else []
+    places += [f"{crates}[0-9]*", f"{home}/.pub-cache/hosted/pub.dev/{package}-*"]
+    for place in places:
+        found = [s.getPath().toString() for s in system.globStatus(make(place)) or [] if s.isDirectory()]
+        if found:
+            return max(found)
+    return None

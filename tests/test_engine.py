@@ -44,6 +44,17 @@ def test_walk(spark, project):
     assert [r.file_path for r in tree.preamble(tree.walk(spark, str(project), keep_manifests=True)).collect()] == ["Cargo.toml"]
 
 
+def test_dependency_root(spark, tmp_path):
+    home, root = tmp_path / "home", tmp_path / "app"
+    for d in ("home/.cargo/registry/src/x/serde-1.0.1", "home/.cargo/registry/src/x/serde-1.0.9", "home/.cargo/registry/src/x/serde-json-2.0.0", "home/.pub-cache/hosted/pub.dev/args-2.1", "app/node_modules/left"):
+        (tmp_path / d).mkdir(parents=True)
+    find = lambda p: (found := tree.dependency_root(spark, str(root), p, str(home))) and found.rsplit("/", 1)[-1]
+    assert [find(p) for p in ("serde", "left", "args", "none")] == ["serde-1.0.9", "left", "args-2.1", None]
+    (root / "Cargo.lock").write_text('[[package]]\nname = "other"\nversion = "3.0.0"\n\n[[package]]\nname = "serde"\nversion = "1.0.1"\n')
+    assert find("serde") == "serde-1.0.1"
+    assert tree.locked_version("", '{"devDependencies": {"left": "^2.0"}}', "left") == "2.0" and tree.locked_version("", "{", "left") is None
+
+
 def test_index_in_batches_with_cancel_and_resume(spark, project, tmp_path):
     engine = Engine(spark, str(tmp_path / "data"), model_id="e5-base", batch_files=3)
     root, said = str(project), iter(["run", "pause", "cancel"])

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import changes, chunking, classify, embed, graph, lexical, quantize, rank, splitter, store, vector
+from marlstone.operators import changes, chunking, classify, codecs, embed, graph, lexical, quantize, rank, splitter, store, vector
 from marlstone.plans import catalog
 
 
@@ -243,7 +243,7 @@ def test_ann_recall(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*cell", index.search(x[0][1], 10)._jdf.queryExecution().toString()) and vector.IvfIndex.read(spark, str(tmp_path / "none")) is None
 
 
-@pytest.mark.parametrize("name", ["ivf_probe_all", "ivf_probe_some", "lsh_ann", "quant_scan"])
+@pytest.mark.parametrize("name", ["ivf_probe_all", "ivf_probe_some", "ivf_sq", "ivf_pq", "lsh_ann", "quant_scan"])
 def test_recall_of_the_registered_searches(spark, name):
     folder = "/root/testdata/sf0.01"
     if not os.path.isdir(folder):
@@ -267,6 +267,16 @@ def test_vector_searches_of_few_or_no_rows(spark):
     assert vector.knn_batch(none, ask(few), 2).count() == 0 and vector.ProjectionIndex(none).search_batch(ask(few), 2).count() == 0
 
 
+def test_codecs():
+    rng = np.random.default_rng(8)
+    x = embed.l2(rng.standard_normal((1500, 32)))
+    for codec, worst in ((codecs.ScalarCodec(x), 0.01), (codecs.ProductCodec(x, 16), 0.2)):
+        codes = codec.encode(x)
+        assert codes.dtype == np.uint8 and codes.shape[1] in (32, 16)
+        assert ((codec.decode(codes) - x) ** 2).sum(axis=1).mean() < worst
+    assert codecs.ProductCodec(x[:3], 4).encode(x).max() <= 2
+
+
 def test_text_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Naïve café", "x"), (2, "cafe cafe", None), (3, None, "cafe"), (4, "...", "a b")], "id int, text string, title string")
     index = lexical.TextIndex(spark, str(tmp_path / "text"), ("text", "title"))
