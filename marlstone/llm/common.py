@@ -69,6 +69,14 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """The name, or one like it that no column of df has (Spark tells names apart without their case)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.llm.common import Scratch
+from marlstone.llm.common import Scratch, unused
 
 ALPHA = 0.5
 SEED = 7
@@ -79,20 +79,26 @@ def poisson_tables(rates: DataFrame) -> DataFrame:
     )
 
 
+def _held(docs: DataFrame) -> dict[str, str]:
+    """Under which names replicate() returns columns of the input that are named as its own."""
+    return {name: unused(f"input_{name}", docs) for name in ("copy", "n_copies", "shuffle_key") if name in docs.columns}
+
+
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, alpha: float = ALPHA, seed: int = SEED, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """The columns of docs and copy, n_copies (long), shuffle_key (32 hex digits), in global random order."""
-    for name in ("copy", "n_copies", "shuffle_key"):
-        if name in docs.columns:
-            docs = docs.withColumnRenamed(name, f"input_{name}")
+    for name, held in _held(docs).items():
+        docs = docs.withColumnRenamed(name, held)
     tables = Scratch(docs.sparkSession, "mixing").save(poisson_tables(source_rates(docs, weights, total, alpha)))
     entries = tables.agg(F.coalesce(F.sum(F.size("m_cdf") + F.lit(4)), F.lit(0))).first()[0]
+    source, cdf, u = (unused(n, docs) for n in ("m_source", "m_cdf", "m_u"))
+    tables = tables.select(F.col("m_source").alias(source), F.col("m_cdf").alias(cdf))
     if entries <= most_entries:
         tables = F.broadcast(tables)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     counted = (
-        docs.join(tables, F.col("source").eqNullSafe(F.col("m_source")))
-        .withColumn("m_u", uniform(seed, key))
-        .withColumn("n_copies", F.size(F.filter("m_cdf", lambda p: p <= F.col("m_u"))).cast("long"))
+        docs.join(tables, F.col("source").eqNullSafe(F.col(source)))
+        .withColumn(u, uniform(seed, key))
+        .withColumn("n_copies", F.size(F.filter(cdf, lambda p: p <= F.col(u))).cast("long"))
     )
     copies = counted.where(F.col("n_copies") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), key, F.col("copy").cast("string"))))
@@ -102,7 +108,8 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total: i
 
 def mix_stage(docs: DataFrame, **options) -> DataFrame:
     """A pipeline stage: the mix, with the columns of docs."""
-    return replicate(docs, **options).select(*docs.columns)
+    held = _held(docs)
+    return replicate(docs, **options).select(*[F.col(held[c]).alias(c) if c in held else c for c in docs.columns])
 
 
 def quantile(u: float, rate: float) -> int:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.buckets import jaccard, link
-from marlstone.llm.common import Scratch, slices
+from marlstone.llm.common import Scratch, slices, unused
 from marlstone.llm.shingles import SHINGLE, Tokens, combine, mix, portions
 
 THRESHOLD = 0.8
@@ -279,23 +279,27 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        nodes = [text_node(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*batch.schema.names, "m_node"])
+def _with_node(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            nodes = [text_node(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*batch.schema.names, name])
+
+    return run
 
 
 def neardup_stage(docs: DataFrame, **options) -> DataFrame:
     """A pipeline stage: exactly one row of each class, all columns kept: that of the least doc_id, one without an id only
     where no row of the class has one. Where an id is repeated or null, rows are told apart by their text as well."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    found = classes(docs, **options).withColumn("m_doc", F.coalesce("doc_id", F.lit(NULL_ID)))
-    standing = scratch.save(found.where("stands").select("m_doc", F.col("node").alias("m_node")).distinct())
-    keep = scratch.save(found.groupBy("m_doc").agg(F.count("*").alias("m_n"), F.max("stands").alias("m_any")).where("m_any").select("m_doc", "m_n"))
-    kept = docs.withColumn("m_doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(keep, "m_doc")
-    if keep.where("m_n > 1").isEmpty():
+    doc, node, number = (unused(n, docs) for n in ("m_doc", "m_node", "m_n"))
+    found = classes(docs, **options).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(doc), F.col("node").alias(node), "stands")
+    standing = scratch.save(found.where("stands").select(doc, node).distinct())
+    keep = scratch.save(found.groupBy(doc).agg(F.count("*").alias(number), F.max("stands").alias("any")).where("any").select(doc, number))
+    kept = docs.withColumn(doc, F.coalesce("doc_id", F.lit(NULL_ID))).join(keep, doc)
+    if keep.where(F.col(number) > 1).isEmpty():
         return kept.select(*docs.columns)
-    repeated = kept.where("m_n > 1").select(*docs.columns, "m_doc")
-    schema = T.StructType([*repeated.schema.fields, T.StructField("m_node", T.BinaryType())])
-    repeated = repeated.mapInArrow(_with_node, schema).join(standing, ["m_doc", "m_node"], "left_semi").dropDuplicates(["m_doc", "m_node"])
-    return kept.where("m_n = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    repeated = kept.where(F.col(number) > 1).select(*docs.columns, doc)
+    schema = T.StructType([*repeated.schema.fields, T.StructField(node, T.BinaryType())])
+    repeated = repeated.mapInArrow(_with_node(node), schema).join(standing, [doc, node], "left_semi").dropDuplicates([doc, node])
+    return kept.where(F.col(number) == 1).select(*docs.columns).unionByName(repeated.select(*docs.columns))

@@ -9,7 +9,7 @@ spares neutral mentions.
 
 The model is fitted on the driver on features of at most ``FIT_ROWS`` labelled documents; labels of held-out ids never
 enter. Only features with a weight are kept for scoring, which reads whole texts. Without both classes among the
-labels the score is the smoothed share of label 1.
+labels nothing can be learned: every score is 0 and no document is toxic.
 
 Null and empty texts have no features; repeated rows get equal scores; a null doc_id is not held out; an empty table
 gives an empty result; extra columns are ignored.
@@ -173,7 +173,7 @@ def _names(wanted: dict[int, float]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, terms=IDENTITY_TERMS) -> Model | float:
-    """A fitted model; a constant where the labels have fewer than two classes.
+    """A fitted model; 0 where the labels have fewer than two classes.
 
     The driver gets hashes of the sample's features; the names of those that are kept are read from the sample again.
     """
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, terms=IDENTIT
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["features"])))
     y = np.array([r["label"] for r in rows], dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return float((y.sum() + 1) / (len(y) + 2))
+        return 0.0
     numbers = lambda b: np.frombuffer(b, dtype=np.int64)
     base, weights = train([numbers(r["features"]) for r in rows], y, [[(numbers(x["gone"]), numbers(x["came"])) for x in r["swaps"]] for r in rows])
     named = {r[0] for r in picked.mapInArrow(_names(weights), "feature string").distinct().collect()}

@@ -457,6 +457,8 @@ def test_toxicity(spark, docs, rows, empty):
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) >= 0.97
     assert toxicity.classify(docs, labels).where("score >= 0 AND score <= 1").count() == len(rows)
     assert toxicity.classify(empty, labels).count() == 0
+    for few in (labels.limit(0), labels.where("toxic = 1"), labels.where("toxic = 0")):
+        assert toxicity.classify(docs, few).where("score <> 0 OR predicted <> 0").count() == 0
     kept = toxicity.toxicity_stage(docs, labels)
     assert kept.columns == docs.columns and kept.count() <= len(rows)
     assert {r.doc_id for r in toxicity.toxicity_stage(df, labels).collect()} == {r.doc_id for r in got if not r.predicted}

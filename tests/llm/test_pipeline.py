@@ -75,13 +75,14 @@ def test_awkward_rows(spark, tmp_path):
     rows = [(i, text(50), "en", f"src{i % 2}", 1) for i in range(20)]
     rows += [(1, text(50), None, None, None), (None, text(50), None, "src0", None), (None, text(50), None, None, None), (None, None, None, None, None), (30, "", "en", "src1", 0)]
     rows += [(40, same, "en", "src0", 1)] * 3 + [(41, same, "en", "src0", 1), (None, same, "en", "src0", 1), (42, text(9000), "en", "src1", 1), (43, text(20) + " " + item, "en", "src1", 1)]
-    clashing = ("key", "node", "copy", "shard", "slot", "size", "score", "label", "component", "class_id", "m_doc")
+    clashing = ("key", "node", "copy", "shard", "slot", "size", "score", "label", "component", "class_id", "m_doc", "M_Node", "m_source", "m_u", "at")
     docs = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(i).alias(c) for i, c in enumerate(clashing)])
     d = write(spark, str(tmp_path / "sf"), docs, [(None, None, None), (1, None, 1), (2, 1, None)], [(None, None), (1, item), (2, "")])
     docs, kept = spark.read.parquet(f"{d}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, d).cache()
         assert docs.columns[5:] == list(clashing), name
+        assert docs.where(" OR ".join(f"{c} <> {i}" for i, c in enumerate(clashing))).isEmpty(), name
         kept.append(sorted(map(str, ((r.doc_id, r.text) for r in docs.collect()))))
     assert len(kept[0]) == len(rows)  # too few labels to reject any
     texts = {t or "" for _, t, *_ in rows}
