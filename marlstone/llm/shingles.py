@@ -21,7 +21,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Code points of texts that are taken at a time.
-CHARS = 1 << 20
+CHARS = 1 << 18
+#: No letter or digit has a greater code point than this; it stands for all beyond.
+_LAST = 0x3FFFF
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -29,9 +31,9 @@ _tables: dict[str, np.ndarray] = {}
 def _table(name: str) -> np.ndarray:
     """By code point whether it belongs to words (as in \\w), and a random value of its lower case."""
     if name not in _tables:
-        points = [chr(c) for c in range(0x110000)]
-        _tables["word"] = np.array([p.isalnum() or p == "_" for p in points])
-        lower = np.array([ord(x) if len(x := p.lower()) == 1 else c for c, p in enumerate(points)], dtype=np.uint64)
+        points = range(_LAST + 1)
+        _tables["word"] = np.fromiter((chr(c).isalnum() or c == 95 for c in points), dtype=bool, count=len(points))
+        lower = np.fromiter((ord(x) if len(x := chr(c).lower()) == 1 else c for c in points), dtype=np.uint64, count=len(points))
         _tables["value"] = mix(lower + np.uint64(0x5851F42D4C957F2D))
     return _tables[name]
 
@@ -69,7 +71,7 @@ class Tokens:
 
     def __init__(self, texts: list[str]):
         joined = "\n".join(texts)
-        raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        raw = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), _LAST)
         inside = np.zeros(len(raw) + 2, dtype=np.int8)
         inside[1:-1] = _table("word")[raw]
         edges = np.flatnonzero(np.diff(inside))
