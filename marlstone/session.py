@@ -15,6 +15,7 @@ from marlstone.operators.store import Table
 from marlstone.sources import extract, tree
 
 INDEX_VERSION = 2
+ENDS = ("done", "cancelled", "failed")
 PHASES = ("scan", "diff", "parse", "chunk", "embed", "write", "index", "finish")
 
 
@@ -35,9 +36,18 @@ class Engine:
 
         Changed files are taken in batches of about batch_files; a batch's files are recorded when its passages are in
         the table, so a run that broke off or was cancelled is resumed by the next. Before each batch ``control`` says
-        "run", "pause" (asked again every second) or "cancel"; a cancelled run says so in "cancelled".
+        "run", "pause" (asked again every second) or "cancel"; a cancelled run says so in "cancelled". ``progress`` gets
+        each of PHASES as it begins and one of ENDS at last.
         """
-        root = root.rstrip("/")
+        try:
+            done = self._index(root.rstrip("/"), refresh, progress, control)
+        except BaseException:
+            progress("failed")
+            raise
+        progress("cancelled" if done["cancelled"] else "done")
+        return done
+
+    def _index(self, root: str, refresh: bool, progress: Callable[[str], None], control: Callable[[], str]) -> dict:
         chunks_t, files_t, symbols_t, edges_t = (self._table(root, n) for n in ("chunks", "files", "symbols", "edges"))
         progress("scan")
         snapshot = tree.walk(self.spark, root).cache()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone import render
-from marlstone.session import Engine
+from marlstone.session import ENDS, PHASES, Engine
 from marlstone.sources import extract, pdftext, tree
 from marlstone.streaming import sync
 
@@ -58,7 +58,9 @@ def test_dependency_root(spark, tmp_path):
 def test_index_in_batches_with_cancel_and_resume(spark, project, tmp_path):
     engine = Engine(spark, str(tmp_path / "data"), model_id="e5-base", batch_files=3)
     root, said = str(project), iter(["run", "pause", "cancel"])
-    first = engine.index(root, control=lambda: next(said))
+    seen: list[str] = []
+    first = engine.index(root, control=lambda: next(said), progress=seen.append)
+    assert seen[0] == "scan" and seen[-1] == "cancelled" and set(seen) <= {*PHASES, *ENDS}
     done = engine._table(root, "files").read().count()
     assert first["cancelled"] and 0 < done < 7
     again = engine.index(root)
@@ -67,6 +69,10 @@ def test_index_in_batches_with_cancel_and_resume(spark, project, tmp_path):
     assert [r.symbol_qualified for r in engine._table(root, "chunks").read().where("language = 'pdf'").collect()] == ["Algorithm C · p.1-1"]
     with pytest.raises(ValueError):
         engine.search(root, "x", mode="other")
+    with pytest.raises(ZeroDivisionError):
+        (project / "README.md").write_text("changed")
+        engine.index(root, control=lambda: 1 // 0, progress=seen.append)
+    assert seen[-1] == "failed"
 
 
 def test_index_search_and_lookup(spark, project, tmp_path):
