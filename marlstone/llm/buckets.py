@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marlstone.llm.common import Scratch
+from marlstone.llm.common import Scratch, few
 from marlstone.llm.components import components
 
 #: Members of a block; a task holds the weighted sets of two.
@@ -63,29 +63,29 @@ def _rest(make_weigh: Callable, threshold: float, kind: pa.DataType):
     return run
 
 
-def _contract(labels: DataFrame, good: DataFrame, scratch: Scratch) -> DataFrame:
-    """The labels after the components of the linked nodes (a, b) are joined."""
+def _contract(labels: DataFrame, n_labels: int, good: DataFrame, scratch: Scratch) -> DataFrame:
+    """The n_labels labels after the components of the linked nodes (a, b) are joined."""
     onto = (
         good.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
         .join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
         .select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     )
     joined = components(onto, scratch)
-    out = scratch.save(
-        labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("onto")), "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
-    )
+    moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("onto")), "component", "left")
+    out = scratch.save(few(moved.select("node", F.coalesce("onto", "component").alias("component")), n_labels))
     scratch.drop(labels)
     return out
 
 
-def _open(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """The members (key, node) of buckets with more than one component, with their component.
+def _open(members: DataFrame, n: int, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The members (key, node), at most n, of buckets with more than one component, with their component.
 
     The keys are written before the join, so that AQE can split a hot bucket there.
     """
-    placed = scratch.save(members.join(labels, "node"))
-    open_keys = scratch.save(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
-    out = scratch.save(placed.join(open_keys, "key"))
+    placed = scratch.save(few(members.join(labels, "node"), n))
+    spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_keys = scratch.save(few(spread.where("lo <> hi").select("key"), n))
+    out = scratch.save(few(placed.join(open_keys, "key"), n))
     scratch.drop(placed)
     return out
 
@@ -96,13 +96,17 @@ def link(members: DataFrame, items: DataFrame, verify: Callable, make_weigh: Cal
     ``items`` has (node, item); ``verify`` turns (a, b, item_a, item_b) into (a, b, good); ``make_weigh`` gives a task the
     function from an item to its weighted set.
     """
-    labels = scratch.save(members.select("node").distinct().withColumn("component", F.col("node")))
+    n = members.count()
+    labels = scratch.save(few(members.select("node").distinct(), n).withColumn("component", F.col("node")))
+    n_labels = labels.count()
     left, tested = members, None
     for turn in range(rounds):
-        waiting = _open(left, labels, scratch)
-        if waiting.isEmpty():
+        waiting = _open(left, n, labels, scratch)
+        n = waiting.count()
+        if not n:
             return labels
-        chosen = scratch.save(waiting.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("c")))
+        first = waiting.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("c"))
+        chosen = scratch.save(few(first, n))
         pairs = (
             waiting.join(chosen, "key")
             .where("c.component <> component")
@@ -115,17 +119,18 @@ def link(members: DataFrame, items: DataFrame, verify: Callable, make_weigh: Cal
         # All pairs of a chosen member are settled in its bucket after this turn, so it leaves the bucket.
         left = waiting.join(chosen.select("key", F.col("c.node").alias("node")), ["key", "node"], "left_anti").select("key", "node")
         # The chosen member's item is read once for many pairs that follow each other.
-        pairs = scratch.save(pairs.select(F.when(F.col("c_first"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("c_first"), F.col("b")).otherwise(F.col("a")).alias("b")))
+        ordered = pairs.select(F.when(F.col("c_first"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("c_first"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        pairs = scratch.save(few(ordered, n))
         if pairs.isEmpty():
             continue
         with_b = pairs.join(items.select(F.col("node").alias("b"), F.col("item").alias("item_b")), "b")
         with_both = with_b.join(items.select(F.col("node").alias("a"), F.col("item").alias("item_a")), "a").select("a", "b", "item_a", "item_b")
         checked = scratch.save(verify(with_both))
-        labels = _contract(labels, checked.where("good").select("a", "b"), scratch)
+        labels = _contract(labels, n_labels, checked.where("good").select("a", "b"), scratch)
         done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = done if tested is None else tested.unionByName(done)
     # The rest exactly: a bucket's members are dealt to blocks, and each two blocks meet in a cell of bounded size.
-    waiting = _open(left, labels, scratch)
+    waiting = _open(left, n, labels, scratch)
     if waiting.isEmpty():
         return labels
     parts = waiting.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -136,4 +141,4 @@ def link(members: DataFrame, items: DataFrame, verify: Callable, make_weigh: Cal
     kind = members.schema["node"].dataType
     run = _rest(make_weigh, threshold, to_arrow_type(kind))
     found = scratch.save(cells.groupBy("key", "i", "j").applyInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}"))
-    return _contract(labels, found, scratch)
+    return _contract(labels, n_labels, found, scratch)

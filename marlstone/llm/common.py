@@ -69,6 +69,15 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+#: Rows of a small table that a task writes at least.
+TASK_ROWS = 50_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many rows, in no more partitions than these rows need; large tables keep theirs."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def unused(name: str, df: DataFrame) -> str:
     """The name, or one like it that no column of df has (Spark tells names apart without their case)."""
     held = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Scratch
+from marlstone.llm.common import Scratch, few
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -21,28 +21,28 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     links = scratch.save(links.select("a", "b").where("a <> b").distinct())
     nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    labels = scratch.save(nodes.withColumn("component", F.col("node")))
-    while not links.isEmpty():
+    n = links.count()
+    labels = scratch.save(few(nodes, 2 * n).withColumn("component", F.col("node")))
+    n_labels = labels.count()
+    while n:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = scratch.save(
-            both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("parent"))
-        )
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+        parents = scratch.save(few(least.select("node", F.least("node", "least").alias("parent")), 2 * n))
         onto = parents.where("parent <> node")
-        new_labels = scratch.save(
-            labels.join(onto.select(F.col("node").alias("component"), "parent"), "component", "left").select(
-                "node", F.coalesce("parent", "component").alias("component")
-            )
-        )
-        new_links = scratch.save(
+        moved = labels.join(onto.select(F.col("node").alias("component"), "parent"), "component", "left")
+        new_labels = scratch.save(few(moved.select("node", F.coalesce("parent", "component").alias("component")), n_labels))
+        relabelled = (
             links.join(parents.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a")
             .join(parents.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
             .where("pa <> pb")
             .select(F.col("pa").alias("a"), F.col("pb").alias("b"))
             .distinct()
         )
+        new_links = scratch.save(few(relabelled, n))
         for old in (labels, links, parents):
             scratch.drop(old)
         labels, links = new_labels, new_links
+        n = links.count()
     return labels
 
 
