@@ -292,14 +292,24 @@ def neardup_stage(docs: DataFrame, **options) -> DataFrame:
     """A pipeline stage: exactly one row of each class, all columns kept: that of the least doc_id, one without an id only
     where no row of the class has one. Where an id is repeated or null, rows are told apart by their text as well."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    doc, node, number = (unused(n, docs) for n in ("m_doc", "m_node", "m_n"))
+    doc, node, number, kept_id, at, word, mask = (unused(n, docs) for n in ("m_doc", "m_node", "m_n", "m_any", "m_at", "m_word", "m_mask"))
     found = classes(docs, **options).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(doc), F.col("node").alias(node), "stands")
     standing = scratch.save(found.where("stands").select(doc, node).distinct())
-    keep = scratch.save(found.groupBy(doc).agg(F.count("*").alias(number), F.max("stands").alias("any")).where("any").select(doc, number))
-    kept = docs.withColumn(doc, F.coalesce("doc_id", F.lit(NULL_ID))).join(keep, doc)
-    if keep.where(F.col(number) > 1).isEmpty():
-        return kept.select(*docs.columns)
-    repeated = kept.where(F.col(number) > 1).select(*docs.columns, doc)
+    # All ids but those of a single row that stays: only rows whose bit one of them has are shuffled.
+    ids = found.groupBy(doc).agg(F.count("*").alias(number), F.max("stands").alias(kept_id))
+    special = scratch.save(ids.where(~F.col(kept_id) | (F.col(number) > 1)))
+    bit = F.pmod(F.xxhash64(doc), F.lit(1 << BITMAP_BITS))
+    own = F.expr(f"shiftleft(1L, cast({at} & 63 AS int))")
+    bitmap = special.select(bit.alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(own).alias(mask))
+    bitmap = scratch.save(bitmap.coalesce(1))  # at most 2^(BITMAP_BITS - 6) rows
+    rows = docs.withColumn(doc, F.coalesce("doc_id", F.lit(NULL_ID))).withColumn(at, bit).withColumn(word, F.shiftright(at, 6))
+    rows = rows.join(F.broadcast(bitmap), word, "left")
+    hit = F.coalesce(F.col(mask), F.lit(0)).bitwiseAND(own) != 0
+    single = rows.where(~hit).select(*docs.columns)
+    kept = rows.where(hit).select(*docs.columns, doc).join(special, doc, "left").where(F.coalesce(F.col(kept_id), F.lit(True)))
+    if special.where(kept_id).isEmpty():
+        return single.unionByName(kept.select(*docs.columns))
+    repeated = kept.where(kept_id).select(*docs.columns, doc)
     schema = T.StructType([*repeated.schema.fields, T.StructField(node, T.BinaryType())])
     repeated = repeated.mapInArrow(_with_node(node), schema).join(standing, [doc, node], "left_semi").dropDuplicates([doc, node])
-    return kept.where(F.col(number) == 1).select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    return single.unionByName(kept.where(F.col(kept_id).isNull()).select(*docs.columns)).unionByName(repeated.select(*docs.columns))

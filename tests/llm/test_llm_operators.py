@@ -378,6 +378,39 @@ def test_near_duplicate_stage_with_repeated_and_null_ids(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._gateway.new_array(jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_duplicate_stage_shuffles_few_texts(spark):
+    rnd = random.Random(14)
+    texts = [" ".join(str(rnd.random()) for _ in range(400)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate([*texts, *texts[:5]])), "doc_id bigint, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = neardup.neardup_stage(df)
+        before = shuffled(spark)
+        assert sorted(r.doc_id for r in got.collect()) == list(range(100))
+        assert shuffled(spark) - before < 0.1 * sum(map(len, texts))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_near_duplicate_stage_with_a_full_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BITMAP_BITS", 6)
+    rnd = random.Random(15)
+    texts = [" ".join(words(rnd, 60)) for _ in range(300)]
+    rows = [*enumerate(texts), *((400 + i, t) for i, t in enumerate(texts[:200])), (250, texts[250]), (251, texts[0]), (None, texts[260]), (None, "alone")]
+    got = neardup.neardup_stage(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [*enumerate(texts), (None, "alone")]))
+
+
 def test_consistent_sampling_matches_similarity():
     rng = np.random.default_rng(0)
     keys = rng.integers(1 << 62, size=400, dtype=np.uint64)
