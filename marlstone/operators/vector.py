@@ -31,10 +31,17 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def rounded(a: Column, digits: int = DIGITS) -> Column:
+    """As SQL's round() of a double: the product is rounded, halves away from zero, and a zero keeps its sign."""
+    scale = F.lit(float(10**digits))
+    nearest = lambda x: F.when(F.round(x * scale) == 0, x * 0.0).otherwise(F.round(x * scale) / scale)
+    return F.transform(F.array(a), nearest)[0]  # so that a is worked out once
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, rounded; 0 if either vector is zero."""
     length = norm(a) * norm(b)
-    return F.when(length > 0, F.round(dot(a, b) / length, DIGITS)).otherwise(0.0)
+    return F.when(length > 0, rounded(dot(a, b) / length)).otherwise(0.0)
 
 
 def normalize(a: Column) -> Column:

@@ -120,7 +120,7 @@ def quant_scan(spark, d):
 )
 def embed_normalize(spark, d):
     unit = vector.normalize(F.col("embedding"))
-    return table(spark, d, "embeddings").select("vec_id", F.transform(unit, lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(unit, lambda x: vector.rounded(x)).alias("unit"))
 
 
 @query(
@@ -131,7 +131,7 @@ def embed_normalize(spark, d):
 def mean_pool(spark, d):
     # Each vector as eight token vectors, of which the first few are unmasked.
     e = table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 8 + 1).alias("held"))
-    return embed.pool_rows(e, 8, "embedding").select("vec_id", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
+    return embed.pool_rows(e, 8, "embedding").select("vec_id", F.transform("pooled", lambda x: vector.rounded(x)).alias("pooled"))
 
 
 @query("SELECT item_id, 'query: ' || text AS as_query, 'passage: ' || text AS as_passage FROM benchmark")
@@ -207,7 +207,7 @@ _RERANKED = (
 
 def _boosts(spark, d):
     q = vector.literal(query_vector(spark, d))
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(vector.dot(F.col("embedding"), q), 6).alias("boost"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), vector.rounded(vector.dot(F.col("embedding"), q)).alias("boost"))
 
 
 @query("WITH " + _RRF.format(vec=_VEC_LEG.format(k=60), lex=lexical.bm25_sql(QUERY_TEXT, 60), k=60) + ", " + _RERANKED + " SELECT id, score FROM reranked")
