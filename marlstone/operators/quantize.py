@@ -56,21 +56,29 @@ class Quantizer:
 
     def score_all(self, codes: list[bytes | None], queries: np.ndarray) -> np.ndarray:
         """(queries, codes) of estimated inner products; 0 for missing or corrupt codes."""
-        out = np.zeros((len(queries), len(codes)))
+        return self.asked(queries) @ self.parts(codes)[0].T
+
+    def asked(self, queries: np.ndarray) -> np.ndarray:
+        """Queries as vectors whose inner products with parts() are the estimates."""
+        q = np.asarray(queries, dtype=np.float64) @ self.rotation.T
+        return np.concatenate([q, q @ self.projections.T], axis=1)
+
+    def parts(self, codes: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, dim + n_signs): decoded coordinates and weighted signs; and the lengths. Zeros for missing or corrupt codes."""
+        out, length = np.zeros((len(codes), self.dim + self.n_signs)), np.zeros(len(codes))
         good = [i for i, c in enumerate(codes) if c is not None and len(c) == self.code_bytes]
         if not good:
-            return out
+            return out, length
         raw = np.frombuffer(b"".join(codes[i] for i in good), dtype=np.uint8).reshape(len(good), -1)
-        head = raw[:, :8].copy().view("<f4")
+        head = raw[:, :8].copy().view("<f4").astype(np.float64)
         split = 8 + -(-self.dim * BITS // 8)
         bits = np.unpackbits(raw[:, 8:split], axis=1)[:, : self.dim * BITS].reshape(len(good), self.dim, BITS)
         level = (bits << np.arange(BITS)).sum(axis=2)
         signs = np.unpackbits(raw[:, split:], axis=1)[:, : self.n_signs] * 2.0 - 1
-        q = self.rotation @ np.asarray(queries, dtype=np.float64).T
-        rough = self._decoded(level, head[:, 0].astype(np.float64)) @ q
-        rest = (head[:, 1] * np.sqrt(np.pi / 2) / self.n_signs)[:, None] * (signs @ (self.projections @ q))
-        out[:, good] = (rough + rest).T
-        return out
+        length[good] = head[:, 0]
+        out[good, : self.dim] = self._decoded(level, head[:, 0])
+        out[good, self.dim :] = signs * (head[:, 1] * np.sqrt(np.pi / 2) / self.n_signs)[:, None]
+        return out, length
 
 
 def encode(table: DataFrame, dim: int, embedding: str = "embedding", out: str = "turbo_code") -> DataFrame:
@@ -109,13 +117,15 @@ def scan_batch(table: DataFrame, queries: DataFrame, k: int, dim: int, refine: i
     """(query_id, vec_id, score, rank) of every query (query_id, embedding): refine * k by estimated cosine, of these k by exact cosine."""
 
     def make_score(q: np.ndarray):
-        unit = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         quantizer = Quantizer(dim)
-
-        def score(batch: pa.RecordBatch) -> np.ndarray:
-            codes = batch.column(1).to_pylist()
-            lengths = np.array([struct.unpack_from("<f", c)[0] if c is not None and len(c) == quantizer.code_bytes else 0.0 for c in codes])
-            return quantizer.score_all(codes, unit) / np.maximum(lengths, 1e-300)
+        asked = quantizer.asked(q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300))
+
+        def score(batch: pa.RecordBatch, least: np.ndarray):
+            for part in vector._parts(batch):
+                rows, length = quantizer.parts(part.column(1).to_pylist())
+                rows /= np.maximum(length, 1e-300)[:, None]
+                for some in vector._blocks(len(asked), len(rows)):
+                    yield some, part.column(0).to_numpy(), asked[some] @ rows.T
 
         return score
 

@@ -69,25 +69,91 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best columns of each row, by score and id."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+#: Scores that a task holds at a time, and rows of a batch that are taken at once.
+TILE, TILE_ROWS = 1 << 19, 2048
+_NONE = np.finfo(np.float64).min
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """As rounded()."""
+    scaled = x * 10.0**DIGITS
+    whole = np.trunc(scaled)
+    return (whole + np.copysign(np.abs(scaled - whole) >= 0.5, scaled)) / 10.0**DIGITS
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, short ones first, so that few scores are judged before there is something to be better than."""
+    at, size = 0, 64
+    while at < batch.num_rows:
+        yield batch.slice(at, size)
+        at, size = at + size, min(2 * size, TILE_ROWS)
+
+
+def _blocks(n: int, rows: int) -> Iterator[slice]:
+    """n queries in slices whose scores of so many rows are no more than a tile."""
+    size = max(1, TILE // max(rows, 1))
+    return (slice(at, at + size) for at in range(0, n, size))
+
+
+class _Best:
+    """The k best rows of each of n queries so far, by rounded score and id. Scores below ``least`` do not count any more."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score, self.ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.least = np.full(n, _NONE)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def offer(self, queries: slice | np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores (queries, rows) of some queries and of the rows with these ids; -inf or NaN for pairs that do not count."""
+        least = self.least[queries].copy()
+        new = np.flatnonzero(least == _NONE)
+        if len(new) and len(ids) > self.k:
+            there = scores[new]
+            there[np.isnan(there)] = -np.inf
+            least[new] = np.maximum(np.partition(there, -self.k, axis=1)[:, -self.k] - 2 * 10.0**-DIGITS, _NONE)
+        at, row = np.nonzero(scores >= least[:, None])
+        number = (np.arange(queries.start, queries.start + len(scores)) if isinstance(queries, slice) else queries)[at]
+        score, found = _rounded(scores[at, row]), ids[row]
+        last = self.score[number, -1]
+        better = (score > last) | (score == last) & (found < self.ids[number, -1])
+        self.waiting.append((number[better], score[better], found[better]))
+        self.held += int(better.sum())
+        if self.held > min(TILE // 2, self.score.size // 2):
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.held:
+            self.waiting = []
+            return
+        number, score, ids = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        touched = np.unique(number)
+        number = np.concatenate([number, np.repeat(touched, self.k)])
+        score, ids = np.concatenate([score, self.score[touched].ravel()]), np.concatenate([ids, self.ids[touched].ravel()])
+        order = np.lexsort((ids, -score, number))
+        first = np.searchsorted(number[order], touched)
+        kept = order[first[:, None] + np.arange(self.k)]  # each has k at least, those of before
+        self.score[touched], self.ids[touched] = score[kept], ids[kept]
+        full = np.isfinite(self.score[touched, -1])
+        self.least[touched[full]] = self.score[touched[full], -1] - 2 * 10.0**-DIGITS
+        self.waiting, self.held = [], 0
 
 
 def _topk_blocks(ids: np.ndarray, score, k: int):
-    """The k best rows of each query within a task. score gives (queries, rows) from a batch, -inf for rows that do not count."""
+    """The k best rows of each query within a task.
+
+    score gives, from a batch and the least scores that count, tiles (queries, row ids, scores) of at most ``TILE`` scores.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score, best_id = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=np.int64)
+        best = _Best(len(ids), k)
         for batch in batches:
-            if batch.num_rows:
-                found = np.concatenate([best_score, np.round(score(batch), DIGITS)], axis=1)
-                rid = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), batch.num_rows))], axis=1)
-                best_score, best_id = _best(found, rid, k)
-        query = np.repeat(ids, best_id.shape[1])
-        real = np.isfinite(best_score.ravel())
-        columns = [pa.array(x[real]) for x in (query, best_id.ravel(), best_score.ravel())]
+            for tile in score(batch, best.least):
+                best.offer(*tile)
+            best.merge()
+        real = np.isfinite(best.score.ravel())
+        columns = [pa.array(x.ravel()[real]) for x in (np.repeat(ids, k), best.ids, best.score)]
         yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
     return run
@@ -96,9 +162,9 @@ def _topk_blocks(ids: np.ndarray, score, k: int):
 def batched(rows: DataFrame, queries: DataFrame, k: int, make_score, block: int = 4096) -> DataFrame:
     """(query_id, vec_id, score, rank) of the k best rows of every query (query_id, embedding).
 
-    Queries are taken in blocks of bounded size; each task scores its rows for a block and keeps k of each query, so
-    only tasks * queries * k rows are shuffled. Vectors must be of one width; make_score turns a block's vectors into a
-    function of a batch of rows, whose first column is the id.
+    Queries are taken in blocks of bounded size; each task scores its rows for a block in tiles and keeps k of each query,
+    so only tasks * queries * k rows are shuffled. Vectors must be of one width; make_score turns a block's vectors into
+    a function as in _topk_blocks(), of batches whose first column is the id.
     """
     out = None
     n = max(1, -(-queries.count() // block))
@@ -130,7 +196,14 @@ def rescored(near: DataFrame, rows: DataFrame, queries: DataFrame, k: int) -> Da
 
 def _cosines(queries: np.ndarray):
     unit = _unit(queries)
-    return lambda batch: unit @ _unit(_matrix(batch.column(1), batch.num_rows)).T
+
+    def score(batch: pa.RecordBatch, least: np.ndarray):
+        for part in _parts(batch):
+            rows, ids = _unit(_matrix(part.column(1), part.num_rows)), part.column(0).to_numpy()
+            for q in _blocks(len(unit), len(rows)):
+                yield q, ids, unit[q] @ rows.T
+
+    return score
 
 
 def knn_batch(table: DataFrame, queries: DataFrame, k: int, block: int = 4096, id_column: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -243,18 +316,20 @@ class IvfIndex:
             unit, near = _unit(q), self.probed(q, nprobes or self.nprobes)
             wanted = np.zeros((len(q), len(self.centroids)), dtype=bool)
             np.put_along_axis(wanted, near, True, axis=1)
-
-            def score(batch: pa.RecordBatch) -> np.ndarray:
-                cell = batch.column(2).to_numpy()
-                out = np.full((len(q), batch.num_rows), -np.inf)
-                if decode is None:
-                    rows = _unit(_matrix(batch.column(1), batch.num_rows))
-                else:
-                    rows = _unit(decode(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)))
-                for c in np.unique(cell):
-                    at = np.ix_(np.flatnonzero(wanted[:, c]), np.flatnonzero(cell == c))
-                    out[at] = unit[at[0].ravel()] @ rows[at[1].ravel()].T
-                return out
+            asking = [np.flatnonzero(w) for w in wanted.T]
+
+            def score(batch: pa.RecordBatch, least: np.ndarray):
+                ids, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                order = np.argsort(cell, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
+                    for part in _parts(batch.take(pa.array(own))):
+                        if decode is None:
+                            rows = _unit(_matrix(part.column(1), part.num_rows))
+                        else:
+                            rows = _unit(decode(np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(part.num_rows, -1)))
+                        for q in _blocks(len(asking[cell[own[0]]]), len(rows)):
+                            some = asking[cell[own[0]]][q]
+                            yield some, part.column(0).to_numpy(), unit[some] @ rows.T
 
             return score
 
@@ -300,14 +375,22 @@ class ProjectionIndex:
         def make_score(q: np.ndarray):
             unit = _unit(q)
             planes = [self._planes(t, q.shape[1]) for t in range(self.tables)]
-            codes = [_code(q, p) for p in planes]
-
-            def score(batch: pa.RecordBatch) -> np.ndarray:
-                rows = _unit(_matrix(batch.column(1), batch.num_rows))
-                same = np.zeros((len(q), len(rows)), dtype=bool)
-                for own, p in zip(codes, planes, strict=True):
-                    same |= own[:, None] == _code(rows, p)[None, :]
-                return np.where(same, unit @ rows.T, -np.inf)
+            small = np.min_scalar_type((1 << self.bits) - 1)
+            codes = np.stack([_code(q, p).astype(small) for p in planes], axis=1)
+
+            def score(batch: pa.RecordBatch, least: np.ndarray):
+                for part in _parts(batch):
+                    rows, ids = _unit(_matrix(part.column(1), part.num_rows)), part.column(0).to_numpy()
+                    own = np.stack([_code(rows, p).astype(small) for p in planes], axis=1)
+                    for q in _blocks(len(unit), len(rows)):
+                        scores, asked = unit[q] @ rows.T, codes[q]
+                        at, row = np.nonzero(scores >= least[q, None])
+                        step = max(1, TILE * 8 // len(planes))
+                        for lo in range(0, len(at), step):
+                            x, y = at[lo : lo + step], row[lo : lo + step]
+                            other = ~(asked[x] == own[y]).any(axis=1)
+                            scores[x[other], y[other]] = -np.inf
+                        yield q, ids, scores
 
             return score
 
